@@ -26,9 +26,10 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from lithoscope.llm.common import Memo, appended, plain, read, without
 
@@ -188,6 +189,21 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("__mark", F.xxhash64(F.col(f"`{text_col}`")).bitwiseAND(F.lit((1 << 24) - 1)))
 
 
+def _pressed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the texts in ``__text`` compressed, as they go through a shuffle."""
+    schema = appended(docs.schema, [StructField("__text", BinaryType())])
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            i = b.schema.get_field_index("__text")
+            texts = pa.array([None if t is None else press(t.encode()) for t in b.column(i).to_pylist()], pa.binary())
+            rest = [j for j in range(b.num_columns) if j != i]
+            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in rest), texts], names=[*(b.schema.names[j] for j in rest), "__text"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def index_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index rows of a batch of documents."""
     marked = _marked(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
@@ -203,20 +219,25 @@ def remove_flagged(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", te
     """``docs`` with ``kept`` (the words left, joined by spaces), ``n_words`` and ``n_removed``."""
     docs = plain(docs)
     kept = without(docs, ["kept", "n_words", "n_removed"])
+    schema = appended(kept.schema, [StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
+    names, rest = schema.names, [c for c in kept.columns if c != text_col]
     by_row = found.select("doc", F.shiftrightunsigned("st", 36).alias("mark"), F.col("st").bitwiseAND(F.lit(0xFFFFFFFF)).cast("long").alias("start"), "bits").groupBy("doc", "mark").agg(
         F.collect_list("start").alias("__starts"), F.collect_list("bits").alias("__bits")
     )
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
-    marked = _marked(docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{text_col}`").alias("__text")).withColumn("__key", key), id_col, "__text")
-    joined = marked.join(by_row, (F.col("__key") == F.col("doc")) & (F.col("__mark") == F.col("mark")), "left").select(
-        *[F.col(f"`{c}`") for c in kept.columns], "__text", "__starts", "__bits"
+    marked = _marked(docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").alias("__text"), key.alias("__key")), "__key", "__text")
+    joined = _pressed(marked).join(by_row, (F.col("__key") == F.col("doc")) & (F.col("__mark") == F.col("mark")), "left").select(
+        *[F.col(f"`{c}`") for c in rest], "__text", "__starts", "__bits"
     )
 
     def run(batches):
+        open_text = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            texts, n_words, n_removed = [], [], []
-            for text, starts, bits in zip(b.pop("__text"), b.pop("__starts"), b.pop("__bits")):
-                words = (text or "").encode().split()
+            texts, n_words, n_removed, whole = [], [], [], []
+            for pressed, starts, bits in zip(b.pop("__text"), b.pop("__starts"), b.pop("__bits")):
+                text = None if pressed is None else open_text(pressed)
+                whole.append(None if text is None else text.decode())
+                words = (text or b"").split()
                 n_words.append(len(words))
                 if starts is not None and len(starts):
                     depth = np.zeros(len(words) + 1, np.int64)
@@ -232,9 +253,11 @@ def remove_flagged(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", te
                     words = [words[i] for i in np.flatnonzero(keep)]
                 texts.append(b" ".join(words).decode())
                 n_removed.append(n_words[-1] - len(words))
-            yield b.assign(kept=texts, n_words=n_words, n_removed=n_removed)
+            b = b.assign(kept=texts, n_words=n_words, n_removed=n_removed)
+            if text_col in names:
+                b[text_col] = whole
+            yield b[names]
 
-    schema = appended(kept.schema, [StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
     return joined.mapInPandas(run, schema)
 
 
