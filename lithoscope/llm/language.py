@@ -129,7 +129,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", per_class: int = PER_CLASS,
                 v, _ = space.vectors(part["text"].tolist())
                 for lang, rows in part.reset_index(drop=True).groupby("lang").groups.items():
                     total[lang] = total.get(lang, np.zeros(d)) + v[list(rows)].sum(0)
-        yield pd.DataFrame({"lang": list(total), "v": list(total.values())})
+        if total:
+            yield pd.DataFrame({"lang": list(total), "v": list(total.values())})
 
     sums: dict[str, np.ndarray] = {}
     for r in chosen.mapInPandas(bundle, "lang string, v array<double>").collect():

@@ -68,7 +68,7 @@ class WordTokenizer:
                 return whole(texts)
             # bytes.split() splits at ASCII white space only, which str.split() doesn't.
             split = [t.encode().split() for t in texts]
-            if len(cache) > 900_000:
+            if len(cache) > 500_000:
                 cache.clear()
             new = list({w for ws in split for w in ws if w not in cache})
             for i in range(0, len(new), 20_000):
