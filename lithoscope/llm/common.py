@@ -78,8 +78,22 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+#: Rows of an Arrow batch: whole texts may be long, and a batch is held in memory more than once.
+ARROW_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small enough for long texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def plain(df: DataFrame) -> DataFrame:
-    """``df`` with columns of the void type as strings, which Arrow and Parquet can carry."""
+    """``df`` with columns of the void type as strings, which Arrow and Parquet can carry; in small batches."""
+    small_batches(df)
+
     def void(t):
         return isinstance(t, NullType) or isinstance(t, ArrayType) and void(t.elementType)
 
@@ -87,16 +101,21 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 class Memo(dict):
-    """A bounded cache of a pure function: emptied when it has grown to ``limit``; results never depend on it."""
+    """A bounded cache of a pure function: emptied when it has grown to ``limit``; results never depend on it.
+
+    Keys of more than ``longest`` characters, if that is given, are not held.
+    """
 
-    def __init__(self, function, limit: int = 400_000):
+    def __init__(self, function, limit: int = 400_000, longest: int | None = None):
         super().__init__()
-        self.function, self.limit = function, limit
+        self.function, self.limit, self.longest = function, limit, longest
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.function(key)
+        value = self.function(key)
+        if self.longest is None or len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from lithoscope.llm.common import appended, bounded_sample, crc_mod, plain, read, received, sent, without
+from lithoscope.llm.common import appended, bounded_sample, crc_mod, plain, read, received, sent, small_batches, without
 
 #: Components of a vector, letters in an n-gram, training documents of a language.
 DIMENSIONS, LETTERS, PER_CLASS = 1024, 3, 800
@@ -118,6 +118,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", per_class: int = PER_CLASS,
     """Prototypes from ``labelled(id, text, lang)``; a sum of vectors for each language and task comes to the driver."""
     space = space or Space()
     d = space.dimensions
+    small_batches(labelled)
     sample = bounded_sample(labelled.where(F.col("text").isNotNull()).select(id_col, "lang"), [id_col], "lang", per_class)
     chosen = labelled.join(F.broadcast(sample.select(id_col).distinct()), id_col, "left_semi").where(F.col("lang").isNotNull()).select("text", "lang")
 
@@ -145,17 +146,20 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     """``docs`` with ``lang_pred`` and ``score``."""
     docs = plain(docs)
     kept, held = without(docs, ["lang_pred", "score"]), sent(docs, profiles)
+    text = text_col if text_col in kept.columns else "__text"
 
     def run(batches):
         own = received(held)
         for b in batches:
             for lo in range(0, len(b), 500):
                 part = b.iloc[lo : lo + 500]
-                lang, score = own.predict(part["__text"])
-                yield part.drop(columns="__text").assign(lang_pred=lang, score=score)
+                lang, score = own.predict(part[text])
+                part = part if text == text_col else part.drop(columns=text)
+                yield part.assign(lang_pred=lang, score=score)
 
     schema = appended(kept.schema, [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.select(*kept.columns, F.col(f"`{text_col}`").alias("__text")).mapInPandas(run, schema)
+    extra = [] if text == text_col else [F.col(f"`{text_col}`").alias(text)]
+    return docs.select(*[F.col(f"`{c}`") for c in kept.columns], *extra).mapInPandas(run, schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
-from lithoscope.llm.common import Memo, appended, plain, read, without
+from lithoscope.llm.common import Memo, appended, plain, read, small_batches, without
 
 #: Words of a window and of an anchor; bytes of a window's hash in a row; words of a memory table.
-WINDOW, GRAM, CHECK, TABLE_WORDS = 13, 5, 5, 1_200_000
+WINDOW, GRAM, CHECK, TABLE_WORDS = 13, 5, 5, 1_000_000
 #: Odd multipliers that place words within a window, and a mixer.
 FACTORS = np.random.Generator(np.random.PCG64(13)).integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -120,7 +120,7 @@ def _table_rows(docs: list[tuple[int, int, list[bytes]]], word_hash) -> pa.Recor
 
 def _batch_rows(batches):
     """Arrow batches of (id, mark, text) to index rows, by memory tables of about ``TABLE_WORDS`` words."""
-    word_hash = Memo(xxhash.xxh64_intdigest, 400_000)
+    word_hash = Memo(xxhash.xxh64_intdigest, 300_000)
     held, total = [], 0
     for b in batches:
         for doc, mark, text in zip(b.column(0), b.column(1), b.column(2)):
@@ -206,7 +206,7 @@ def _pressed(docs: DataFrame) -> DataFrame:
 
 def index_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index rows of a batch of documents."""
-    marked = _marked(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
+    marked = _marked(small_batches(docs).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
     return marked.select("__id", "__mark", "__text").mapInArrow(_batch_rows, ROWS_DDL)
 
 

@@ -23,6 +23,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
@@ -256,15 +257,18 @@ def score_documents(docs: DataFrame, model: SpanModel, text_col: str = "text", k
     """``docs`` with ``score`` and ``spans``."""
     docs = plain(docs)
     kept, held = without(docs, ["score", "spans"] + ([] if keep_text else [text_col])), sent(docs, model)
+    text = text_col if text_col in kept.columns else "__text"
 
     def run(batches):
         own = received(held)
         for b in batches:
-            found = [own.score(t) for t in b.pop("__text")]
-            yield b.assign(score=[x[0] for x in found], spans=[x[1] for x in found])
+            found = [own.score(t) for t in b[text]]
+            b = b if text == text_col else b.drop(columns=text)
+            yield b.assign(score=np.array([x[0] for x in found], float), spans=pd.Series([x[1] for x in found], b.index, object))
 
     schema = appended(kept.schema, [StructField("score", DoubleType()), StructField("spans", SPANS)])
-    return docs.select(*kept.columns, F.col(f"`{text_col}`").alias("__text")).mapInPandas(run, schema)
+    extra = [] if text == text_col else [F.col(f"`{text_col}`").alias(text)]
+    return docs.select(*[F.col(f"`{c}`") for c in kept.columns], *extra).mapInPandas(run, schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
