@@ -25,23 +25,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoscope.llm.common import read, received, sent
+from lithoscope.llm.common import read, received, sent, small_batches
 
 TIERS = (4096, 2048, 1024, 512)
+#: ASCII punctuation, which no pre-token joins to letters before it.
+STOPS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Ids that a task holds before it packs them, and ids of a step group.
 BLOCK_TOKENS, STEP_TOKENS = 1_500_000, 16 * 4096
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 
 
 class WordTokenizer:
-    """A public tokenizer whose normaliser and pre-tokenizer treat the runs between ASCII white space separately.
+    """A public tokenizer that treats the runs between ASCII white space, and a run of letters and what follows, separately.
 
-    So the words of a text are encoded alone, and a bounded cache of words is exact. ``alone`` is false for tokenizers of
-    which this doesn't hold; their texts are encoded whole.
+    So the words of a text are encoded once, and a bounded cache of words is exact: punctuation after a word of letters is
+    encoded apart from it, words of letters are encoded in lower case (as the normaliser has them) and many at
+    a time, where a token with the end-of-word mark ends each. ``alone`` is false for tokenizers of which this doesn't hold; their texts are encoded whole.
     """
 
-    def __init__(self, definition: str, alone: bool = True):
-        self.definition, self.alone = definition, alone
+    def __init__(self, definition: str, alone: bool = True, mark: str = "</w>"):
+        self.definition, self.alone, self.mark = definition, alone, mark
 
     @classmethod
     def load(cls, path: str, alone: bool = True) -> WordTokenizer:
@@ -57,12 +60,48 @@ class WordTokenizer:
 
         tokenizer = Tokenizer.from_str(self.definition)
         tokenizer.encode_special_tokens = True
-        kind = np.dtype("<u2" if tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
-        cache: dict[str, bytes] = {}
+        vocabulary = tokenizer.get_vocab(True)
+        size = max(vocabulary.values()) + 1
+        kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        ends = np.zeros(size, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith(self.mark)]] = True
+        cache: dict[bytes, bytes] = {}
 
         def whole(texts):
             return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+        def learn(words: list[bytes]) -> None:
+            """Put the words, which the cache lacks, into it."""
+            letters, others, same = {}, [], []
+            for w in words:
+                core = w.rstrip(STOPS)
+                s = core.decode()
+                small = s.lower()
+                if not (s.isalpha() and small.isalpha()):  # a capital letter may become a small one and a mark
+                    others.append(w)
+                    continue
+                if s != small and len(s) == len(small) and "\u03a3" not in s:  # a capital sigma's small form depends on its place
+                    s, lowered = small, small.encode()
+                else:
+                    lowered = core
+                letters[lowered] = s
+                if w is not lowered:
+                    same.append((w, lowered, w[len(core) :]))
+            new = [c for c in letters if c not in cache]
+            for lo in range(0, len(new), 256):
+                part = new[lo : lo + 256]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join([letters[c] for c in part])], add_special_tokens=False)[0].ids, kind)
+                stops = (np.flatnonzero(ends[ids]) + 1).tolist()
+                if len(stops) == len(part) and stops[-1] == len(ids):
+                    data, width = ids.tobytes(), kind.itemsize
+                    cache.update((c, data[i * width : j * width]) for c, i, j in zip(part, [0, *stops], stops))
+                else:  # a word that isn't one run of letters to the tokenizer
+                    cache.update(zip(part, whole([letters[c] for c in part])))
+            tails = list({t for _, _, t in same if t not in cache})
+            cache.update(zip(tails, whole([t.decode() for t in tails])))
+            cache.update((w, cache[lowered] + cache[tail]) for w, lowered, tail in same)
+            cache.update(zip(others, whole([w.decode() for w in others])))
+
         def encode(texts: list[str]) -> list[bytes]:
             if not self.alone:
                 return whole(texts)
@@ -70,10 +109,7 @@ class WordTokenizer:
             split = [t.encode().split() for t in texts]
             if len(cache) > 500_000:
                 cache.clear()
-            new = list({w for ws in split for w in ws if w not in cache})
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                cache.update(zip(part, whole([w.decode() for w in part])))
+            learn(list({w for ws in split for w in ws if w not in cache}))
             return [b"".join(map(cache.__getitem__, ws)) for ws in split]
 
         return encode, kind
@@ -174,7 +210,7 @@ def sum_upto(left: list[tuple[int, int, int]], most: int) -> int:
 
 def pack_documents(docs: DataFrame, tokenizer: WordTokenizer, end_id: int, id_col: str = "doc_id", text_col: str = "text", tiers=TIERS) -> DataFrame:
     """One row for each piece of a document, with its ids and its place; see ``PIECES``."""
-    held = sent(docs, tokenizer)
+    held = sent(small_batches(docs), tokenizer)
 
     def run(batches):
         encode, kind = received(held).ready()
