@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -86,59 +85,58 @@ class Encoder:
     def ready(self) -> tuple:
         """``encode(text) -> uint32 ids as bytes`` and ``decode(bytes) -> bytes``, with caches of their own."""
         find, ids, tokens = self.table.find, self.ids, self.tokens
+        number, pop, push = np.array(ids, "<u4"), heapq.heappop, heapq.heappush
+        if len(tokens) > 1 << 20:
+            raise ValueError("more than 2**20 tokens")
         single = [find(bytes([b])) for b in range(256)]
         if min(single) < 0:
             raise ValueError("the vocabulary lacks single bytes")
-        # A pair of tokens to the token they make, or -1.
-        pairs = Memo(lambda p: find(tokens[p >> 32] + tokens[p & 0xFFFFFFFF]), 1_000_000)
+        # A pair of tokens to the token they make, or -1. Tokens are numbered by rank, so the least number merges first.
+        pairs = Memo(lambda p: find(tokens[p >> 20] + tokens[p & 0xFFFFF]), 300_000)
 
         def merged(piece: bytes) -> list[int]:
             at = [single[b] for b in piece]
             n = len(at)
+            shift = n.bit_length()
+            low = (1 << shift) - 1
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            heap = []
-            for i in range(n - 1):
-                t = pairs[at[i] << 32 | at[i + 1]]
-                if t >= 0:
-                    heap.append((ids[t], i, t, at[i], at[i + 1]))
+            heap = [t << shift | i for i, t in enumerate([pairs[a << 20 | b] for a, b in zip(at, at[1:])]) if t >= 0]
             heapq.heapify(heap)
-            pop, push = heapq.heappop, heapq.heappush
             while heap:
-                _, i, t, a, b = pop(heap)
+                e = pop(heap)
+                i, t = e & low, e >> shift
                 j = after[i]
-                if at[i] != a or j >= n or at[j] != b:
+                # Stale: the place is gone or last, or its pair now makes another token.
+                if j >= n or (a := at[i]) < 0 or pairs[a << 20 | at[j]] != t:
                     continue
                 at[i], at[j] = t, -1
                 after[i] = k = after[j]
                 if k < n:
                     before[k] = i
-                    u = pairs[t << 32 | at[k]]
+                    u = pairs[t << 20 | at[k]]
                     if u >= 0:
-                        push(heap, (ids[u], i, u, t, at[k]))
+                        push(heap, u << shift | i)
                 h = before[i]
                 if h >= 0:
-                    u = pairs[at[h] << 32 | t]
+                    u = pairs[at[h] << 20 | t]
                     if u >= 0:
-                        push(heap, (ids[u], h, u, at[h], t))
+                        push(heap, u << shift | h)
             return [x for x in at if x >= 0]
 
         def pre_token(p: str) -> bytes:
             key = p.encode()
             i = find(key)
-            found = [ids[i]] if i >= 0 else [ids[x] for x in merged(key)]
-            return np.array(found, "<u4").tobytes()
+            return number[i].tobytes() if i >= 0 else number[merged(key)].tobytes()
 
         match = regex.compile(self.pattern).findall
-        piece = Memo(pre_token, 300_000)
-        long_piece = lambda p: piece[p] if len(p) <= 64 else pre_token(p)
-        span = Memo(lambda s: b"".join(map(long_piece, match(s))), 600_000)
-        long_span = lambda s: span[s] if len(s) <= 64 else b"".join(map(long_piece, match(s)))
+        piece = Memo(pre_token, 250_000, 64).__getitem__
+        span = Memo(lambda s: b"".join(map(piece, match(s))), 500_000, 64).__getitem__
 
         def encode(text: str) -> bytes:
             if UNSAFE.search(text):
-                return b"".join(map(long_piece, match(text)))
+                return b"".join(map(piece, match(text)))
             first, *rest = text.split(" ")
-            return long_span(first) + b"".join(map(long_span, map(str.__add__, repeat(" "), rest)))
+            return span(first) + b"".join(map(span, map(" ".__add__, rest)))
 
         place = {x: t for x, t in zip(ids, tokens)}
 
