@@ -314,3 +314,55 @@ def top_per_group(spark, sf_dir):
 def layer_names(spark, sf_dir):
     path = F.when(F.col("doc_id") % 2 == 0, F.concat_ws("/", F.lit("src"), "lang", "source")).otherwise(F.concat_ws("/", "source", "lang"))
     return table(spark, sf_dir, "documents").where("lang is not null and source is not null").groupBy(layer_of(path).alias("layer")).agg(F.count("*").alias("n"))
+
+
+def _sample(spark) -> DataFrame:
+    """Records of the library's own small project (the driver's tables hold no code)."""
+    from lithoscope.sources import extract, sample
+
+    return extract.extract_all(spark.createDataFrame(list(sample.FILES.items()), "path string, text string"))
+
+
+@query()
+def code_units(spark, sf_dir):
+    from lithoscope.sources import extract
+
+    return extract.units(_sample(spark)).select("file_path", "name", "kind", "line", "exported", "is_async", "return_type", "complexity", "body_line_count")
+
+
+@query()
+def code_imports(spark, sf_dir):
+    from lithoscope.sources import extract
+
+    return extract.imports(_sample(spark)).select("path", "source", F.array_join("specifiers", ",").alias("specifiers"), "is_external")
+
+
+@query()
+def code_exports(spark, sf_dir):
+    from lithoscope.sources import extract
+
+    return extract.exports(_sample(spark))
+
+
+@query()
+def code_dependencies(spark, sf_dir):
+    from lithoscope.operators import modules
+
+    found = _sample(spark)
+    return modules.modules(found, modules.dependency_edges(found, {"@/": "/p/lib"}))
+
+
+@query()
+def code_call_graph(spark, sf_dir):
+    from lithoscope.operators import modules
+
+    return modules.call_edges(_sample(spark))
+
+
+@query()
+def code_patterns(spark, sf_dir):
+    from lithoscope.operators import modules, patterns
+    from lithoscope.sources import extract
+
+    found = _sample(spark)
+    return patterns.detect(extract.units(found), modules.file_counts(found, modules.dependency_edges(found, {"@/": "/p/lib"})))
