@@ -109,7 +109,7 @@ class WordTokenizer:
             split = [t.encode().split() for t in texts]
             if len(cache) > 500_000:
                 cache.clear()
-            learn(list({w for ws in split for w in ws if w not in cache}))
+            learn(list(set().union(*split).difference(cache)))
             return [b"".join(map(cache.__getitem__, ws)) for ws in split]
 
         return encode, kind
