@@ -85,14 +85,14 @@ class Encoder:
     def ready(self) -> tuple:
         """``encode(text) -> uint32 ids as bytes`` and ``decode(bytes) -> bytes``, with caches of their own."""
         find, ids, tokens = self.table.find, self.ids, self.tokens
-        number, pop, push = np.array(ids, "<u4"), heapq.heappop, heapq.heappush
+        packed, pop, push = [i.to_bytes(4, "little") for i in ids], heapq.heappop, heapq.heappush
         if len(tokens) > 1 << 20:
             raise ValueError("more than 2**20 tokens")
         single = [find(bytes([b])) for b in range(256)]
         if min(single) < 0:
             raise ValueError("the vocabulary lacks single bytes")
         # A pair of tokens to the token they make, or -1. Tokens are numbered by rank, so the least number merges first.
-        pairs = Memo(lambda p: find(tokens[p >> 20] + tokens[p & 0xFFFFF]), 300_000)
+        pairs = Memo(lambda p: find(tokens[p >> 20] + tokens[p & 0xFFFFF]), 1_000_000)
 
         def merged(piece: bytes) -> list[int]:
             at = [single[b] for b in piece]
@@ -100,25 +100,28 @@ class Encoder:
             shift = n.bit_length()
             low = (1 << shift) - 1
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            heap = [t << shift | i for i, t in enumerate([pairs[a << 20 | b] for a, b in zip(at, at[1:])]) if t >= 0]
+            makes = [pairs[a << 20 | b] for a, b in zip(at, at[1:])]  # what each place and the next now make
+            makes.append(-1)
+            heap = [t << shift | i for i, t in enumerate(makes) if t >= 0]
             heapq.heapify(heap)
             while heap:
                 e = pop(heap)
                 i, t = e & low, e >> shift
+                if makes[i] != t:
+                    continue  # stale: one of the pair has been merged
                 j = after[i]
-                # Stale: the place is gone or last, or its pair now makes another token.
-                if j >= n or (a := at[i]) < 0 or pairs[a << 20 | at[j]] != t:
-                    continue
-                at[i], at[j] = t, -1
+                at[i], at[j], makes[j] = t, -1, -1
                 after[i] = k = after[j]
                 if k < n:
                     before[k] = i
-                    u = pairs[t << 20 | at[k]]
+                    makes[i] = u = pairs[t << 20 | at[k]]
                     if u >= 0:
                         push(heap, u << shift | i)
+                else:
+                    makes[i] = -1
                 h = before[i]
                 if h >= 0:
-                    u = pairs[at[h] << 20 | t]
+                    makes[h] = u = pairs[at[h] << 20 | t]
                     if u >= 0:
                         push(heap, u << shift | h)
             return [x for x in at if x >= 0]
@@ -126,11 +129,11 @@ class Encoder:
         def pre_token(p: str) -> bytes:
             key = p.encode()
             i = find(key)
-            return number[i].tobytes() if i >= 0 else number[merged(key)].tobytes()
+            return packed[i] if i >= 0 else b"".join(map(packed.__getitem__, merged(key)))
 
         match = regex.compile(self.pattern).findall
-        piece = Memo(pre_token, 250_000, 64).__getitem__
-        span = Memo(lambda s: b"".join(map(piece, match(s))), 500_000, 64).__getitem__
+        piece = Memo(pre_token, 300_000, 64).__getitem__
+        span = Memo(lambda s: b"".join(map(piece, match(s))), 600_000, 64).__getitem__
 
         def encode(text: str) -> bytes:
             if UNSAFE.search(text):
