@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import posixpath
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,3 +48,29 @@ def next_undo(log: DataFrame, undone: DataFrame) -> DataFrame:
     open_ones = log.join(undone.select("op_id").distinct(), "op_id", "left_anti")
     last = open_ones.agg(F.max("op_id").alias("op_id"))
     return open_ones.join(F.broadcast(last), "op_id", "left_semi")
+
+
+def rename_file_edits(files: DataFrame, edges: DataFrame, old: str, new: str) -> DataFrame:
+    """``path, original, modified`` of the importers of ``old`` once their quoted specifiers lead to ``new``.
+
+    ``edges(src, source, dst)`` are resolved imports. Only exact quoted specifiers change; the file itself is not moved.
+    """
+    wanted = edges.where(F.col("dst") == old).select(F.col("src").alias("path"), "source").distinct()
+    each = wanted.withColumn("target", relative_specifier(F.col("path"), F.lit(new)))
+    pairs = each.groupBy("path").agg(F.collect_list(F.struct("source", "target")).alias("pairs"))
+    modified = F.aggregate("pairs", F.col("text"), lambda t, p: F.replace(
+        F.replace(t, F.concat(F.lit("'"), p["source"], F.lit("'")), F.concat(F.lit("'"), p["target"], F.lit("'"))),
+        F.concat(F.lit('"'), p["source"], F.lit('"')), F.concat(F.lit('"'), p["target"], F.lit('"')),
+    ))
+    return change_set(files.join(pairs, "path").select("path", F.col("text").alias("original"), modified.alias("modified")))
+
+
+@F.pandas_udf(StringType())
+def relative_specifier(importer: pd.Series, target: pd.Series) -> pd.Series:
+    """The specifier of ``target`` in ``importer``: relative, without extension, with a leading dot."""
+
+    def one(a: str, b: str) -> str:
+        path = posixpath.relpath(posixpath.splitext(b)[0], posixpath.dirname(a))
+        return path if path.startswith(".") else f"./{path}"
+
+    return pd.Series([one(a, b) for a, b in zip(importer, target)], importer.index, dtype=object)

@@ -113,3 +113,10 @@ def test_pattern_rules(spark):
         ("singleton", "One"): 0.95, ("repository", "Users"): 0.8, ("factory", "createUsers"): 0.95, ("command", "Act"): 0.75, ("strategy", "S"): 0.8,
         ("react-hooks", "useThing"): 0.95, ("middleware", "mw"): 0.8, ("barrel-module", "src/index.ts"): 0.95, ("facade", "src/f.ts"): 0.8,
     }
+
+
+def test_rename_of_a_file_rewrites_its_importers(spark):
+    docs = spark.createDataFrame([("/p/src/a.ts", "import x from './b';\nimport y from \"./b2\";"), ("/p/c.ts", "import z from './src/b';"), ("/p/src/b.ts", "")], "path string, text string")
+    edges = spark.createDataFrame([("/p/src/a.ts", "./b", "/p/src/b.ts"), ("/p/src/a.ts", "./b2", None), ("/p/c.ts", "./src/b", "/p/src/b.ts")], "src string, source string, dst string")
+    done = {r["path"]: r["modified"] for r in changes.rename_file_edits(docs, edges, "/p/src/b.ts", "/p/lib/d.ts").collect()}
+    assert done == {"/p/src/a.ts": "import x from '../lib/d';\nimport y from \"./b2\";", "/p/c.ts": "import z from './lib/d';"}
