@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoscope.llm import language, packing, simhash, substring, toxicity
-from lithoscope.llm.common import read, written
+from lithoscope.llm.common import read, remove, written
 
 #: A document is rejected as toxic from this score on; as of no known language under this cosine.
 TOXIC_FROM, LANGUAGE_FROM = 0.5, 0.05
@@ -62,10 +62,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written to the shared folder and reread."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages on ``documents``, each written to the shared folder and reread; a stage's table goes once it is used."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before:
+            remove(spark, before)
+        before = path
     return docs
 
 

@@ -389,7 +389,7 @@ def test_pipeline_stages(spark, documents):
     docs = documents
     columns = documents.columns
     for name, stage in corpus_pipeline.STAGES[:4]:
-        before, docs = docs.count(), corpus_pipeline.written(stage(spark, docs, SMALL), "test")
+        before, docs = docs.count(), corpus_pipeline.written(stage(spark, docs, SMALL), "test")[0]
         assert docs.columns == columns and 0 < docs.count() <= before, name
     rows = docs.collect()
     fps = [fingerprint_by_force(r["text"]) for r in documents.collect()]
