@@ -139,9 +139,30 @@ def framework(units: DataFrame) -> DataFrame:
     )
 
 
+# Words in a lower-cased path that name a layer.
+LAYER_WORDS = {
+    "controllers": "controller|route",
+    "models": "model|entity|schema",
+    "views": "view|template|component",
+    "services": "service|provider",
+}
+
+
+def layered(files: DataFrame) -> DataFrame:
+    """One row if files of at least two layers occur; ``mvc`` if controllers and models are among them."""
+    low = F.lower("file_path")
+    found = files.agg(*[F.count_if(low.rlike(words)).alias(layer) for layer, words in LAYER_WORDS.items()], F.min("file_path").alias("file_path"))
+    n = sum((F.when(F.col(layer) > 0, 1).otherwise(0) for layer in LAYER_WORDS), F.lit(0))
+    name = F.when((F.col("controllers") > 0) & (F.col("models") > 0), "mvc").otherwise("layered-architecture")
+    return found.where(n >= 2).select(
+        name.alias("pattern"), F.lit("architectural").alias("category"), "file_path", F.lit(None).cast("string").alias("unit_name"), F.lit(1).alias("line"),
+        F.when(n >= 3, _d(0.85)).otherwise(_d(0.6)).alias("confidence"),
+    )
+
+
 def detect(units: DataFrame, files: DataFrame) -> DataFrame:
     """All rules, the surest first."""
-    parts = [unit_rules(units), factory(units), strategy(units), adapter(units), file_rules(files), framework(units)]
+    parts = [unit_rules(units), factory(units), strategy(units), adapter(units), file_rules(files), layered(files), framework(units)]
     out = parts[0].select(*OUT)
     for p in parts[1:]:
         out = out.unionByName(p.select(*OUT))

@@ -366,3 +366,11 @@ def code_patterns(spark, sf_dir):
 
     found = _sample(spark)
     return patterns.detect(extract.units(found), modules.file_counts(found, modules.dependency_edges(found, {"@/": "/p/lib"})))
+
+
+@query()
+def cfg_blocks(spark, sf_dir):
+    """Control-flow blocks of the small project's functions."""
+    from lithoscope.sources import flow, sample
+
+    return flow.control_flow(spark.createDataFrame(list(sample.FILES.items()), "path string, text string"))

@@ -311,8 +311,11 @@ class Source:
         }
 
     def statements(self, i: int, end: int) -> list[tuple[int, int]]:
+        return list(self.each_statement(i, end))
+
+    def each_statement(self, i: int, end: int):
         """Statements directly within a block: they end at a semicolon, after a block, or at a line end before a name."""
-        out, a = [], i
+        a = i
         while i < end:
             block = self.is_(i, "{") and (i == a or self.is_(i - 1, ")", "else", "try", "finally", "do", "=>") or self.is_(a, "class", "export", "interface", "enum"))
             j = self.after(i)
@@ -320,10 +323,9 @@ class Source:
             fresh = j < end and self.line(j) > self.line(j - 1) and self.t[j].kind == "id" and self.t[j].text not in ("else", "catch", "finally", "instanceof", "in", "of") and (self.is_(j - 1, ")", "]") and not self.is_(a, "if", "for", "while") or self.t[j - 1].kind in ("id", "num", "str", "template"))
             if done or fresh or j >= end:
                 if j > a and not (j - a == 1 and self.is_(a, ";")):
-                    out.append((a, j))
+                    yield a, j
                 a = j
             i = j
-        return out
 
     def classify(self, a: int, b: int) -> str:
         if (kind := STATEMENTS.get(self.t[a].text)) and self.t[a].kind == "id":

@@ -1,5 +1,5 @@
 from lithoscope.operators import modules
-from lithoscope.sources import extract, sample
+from lithoscope.sources import extract, flow, sample
 from lithoscope.sources.lexer import lex
 
 
@@ -52,3 +52,30 @@ def test_graphs_of_the_sample(spark):
     assert calls == {("app.tsx:App", "make.ts:createShape"), ("app.tsx:useShapes", "make.ts:createShape"), ("make.ts:createShape", "make.ts:log"), ("make.ts:createShape", "make.ts:scale")}
     light = {(r["name"], r["kind"]): r["exported"] for r in extract.light_units(found).collect()}
     assert light[("log", "variable")] is False and light[("Square", "class")] is True
+
+
+def graph(text):
+    f = flow.flows(text)[0]
+    return [(b["id"], b["type"], b["successors"]) for b in f.blocks], f
+
+
+def test_control_flow():
+    assert graph("function f() { a(); b(); }")[0] == [(0, "entry", [2]), (1, "exit", []), (2, "body", [1])]
+    got, f = graph("function f(x) { if (x) { return 1; } else g(x); h() }")
+    assert got == [(0, "entry", [2]), (1, "exit", []), (2, "body", [3]), (3, "branch", [4, 5]), (4, "body", [1]), (5, "body", [6]), (6, "body", [1])]
+    assert f.blocks[5]["calls"] == ["g"] and f.blocks[6]["calls"] == ["h"]
+    got, _ = graph("function f(xs: T[]): number { for (const x of xs) { if (x) continue; } return 0; dead(); }")
+    assert [b[1] for b in got] == ["entry", "exit", "body", "loop", "body", "branch", "body", "body", "body"] and got[-1][2] == [1]
+    got, _ = graph("function f() { try { a(); } catch (e) { b(); } finally { c(); } }")
+    kinds = {b[1]: b for b in got}
+    assert kinds["try"][2] == [kinds["catch"][0], kinds["finally"][0]] and kinds["catch"][2] == [kinds["finally"][0]]
+    got, _ = graph("function f(x) { switch (x) { case 1: return 1; case 2: a(); break; default: b(); } c(); }")
+    assert [len(b[2]) for b in got if b[1] == "switch"] == [3] and [b[2] for b in got if b[1] == "case"][0] == [1]
+    assert [b[2] for b in graph("function f(x) { switch (x) { } c(); }")[0] if b[1] == "switch"] == [[]]
+    for text in ("function f() {", "function f() { if (", "function f() { do", "function f() { try {", "function f() { switch (x) { case", "function f("):
+        flow.flows(text)
+
+
+def test_control_flow_rows(spark):
+    found = flow.control_flow(spark.createDataFrame(list(sample.FILES.items()), "path string, text string"))
+    assert {r["function_name"] for r in found.collect()} == {"createShape", "App", "useShapes", "unused"}
