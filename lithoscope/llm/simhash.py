@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from lithoscope.llm.common import appended, checkpoint, plain, read, without
+from lithoscope.llm.common import appended, checkpoint, plain, read, tidy, without
 from lithoscope.llm.components import components
 
 #: Distinct fingerprints of a bucket beyond which it is split.
@@ -93,6 +93,7 @@ def with_fingerprint(docs: DataFrame, words: int = 4, text_col: str = "text", ke
     kept = without(docs, ["fp"] + ([] if keep_text else [text_col]))
 
     def run(batches):
+        tidy()
         for b in batches:
             fp = fingerprints(b.pop("__text").tolist(), words)
             yield b.assign(fp=fp)

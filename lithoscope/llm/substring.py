@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
-from lithoscope.llm.common import Memo, appended, plain, read, small_batches, without
+from lithoscope.llm.common import Memo, appended, plain, read, small_batches, tidy, without
 
 #: Words of a window and of an anchor; bytes of a window's hash in a row; words of a memory table.
-WINDOW, GRAM, CHECK, TABLE_WORDS = 13, 5, 5, 1_000_000
+WINDOW, GRAM, CHECK, TABLE_WORDS = 13, 5, 5, 500_000
 #: Odd multipliers that place words within a window, and a mixer.
 FACTORS = np.random.Generator(np.random.PCG64(13)).integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -120,7 +120,8 @@ def _table_rows(docs: list[tuple[int, int, list[bytes]]], word_hash) -> pa.Recor
 
 def _batch_rows(batches):
     """Arrow batches of (id, mark, text) to index rows, by memory tables of about ``TABLE_WORDS`` words."""
-    word_hash = Memo(xxhash.xxh64_intdigest, 300_000)
+    tidy()
+    word_hash = Memo(xxhash.xxh64_intdigest, 200_000)
     held, total = [], 0
     for b in batches:
         for doc, mark, text in zip(b.column(0), b.column(1), b.column(2)):
@@ -137,6 +138,7 @@ def _batch_rows(batches):
 
 def _merge_join(batches):
     """Rows sorted by anchor and document to flags, by one streaming pass."""
+    tidy()
     seen_h, seen_doc, seen_a = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
     for b in batches:
         if not b.num_rows:
@@ -194,6 +196,7 @@ def _pressed(docs: DataFrame) -> DataFrame:
     schema = appended(docs.schema, [StructField("__text", BinaryType())])
 
     def run(batches):
+        tidy()
         press = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             i = b.schema.get_field_index("__text")
@@ -231,6 +234,7 @@ def remove_flagged(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", te
     )
 
     def run(batches):
+        tidy()
         open_text = zstandard.ZstdDecompressor().decompress
         for b in batches:
             texts, n_words, n_removed, whole = [], [], [], []

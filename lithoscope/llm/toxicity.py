@@ -161,7 +161,7 @@ class SpanModel:
         self.weights, self.bias, self.moves = theta[:k].copy(), float(theta[k + 1]), theta[k + 2 :].reshape(2, 2).copy()
 
     def _begin(self) -> None:
-        self.emission = Memo(lambda w: math.exp(min(60.0, self.bias + float(self.weights[ids].sum()))) if (ids := self.known(w)) else 0.0, 250_000)
+        self.emission = Memo(lambda w: math.exp(min(60.0, self.bias + float(self.weights[ids].sum()))) if (ids := self.known(w)) else 0.0, 150_000)
         self.move = np.exp(self.moves)
         self.plain = self.move * np.array([1.0, math.exp(self.bias)])
 
