@@ -16,7 +16,7 @@ def dependency_edges(extracted: DataFrame, aliases: dict[str, str] | None = None
     ``aliases`` maps prefixes of specifiers to folders. A relative import that resolves to no file counts as external too.
     """
     used = extract.imports(extracted).select(F.col("path").alias("src"), "source", "specifiers")
-    folder = F.regexp_replace("src", r"/[^/]*$", "")
+    folder = F.regexp_extract("src", r"^(.*/)?", 0)
     spelled, root = F.col("source"), folder
     for prefix, target in (aliases or {}).items():
         hit = F.col("source").startswith(prefix)
@@ -54,3 +54,29 @@ def file_counts(extracted: DataFrame, edges: DataFrame) -> DataFrame:
     inner = edges.where(F.col("dst").isNotNull()).groupBy(F.col("src").alias("path")).agg(F.count_distinct("dst").cast("int").alias("n_internal_imports"))
     again = F.size(F.filter("exports", lambda e: e["is_re_export"]))
     return extracted.select("path", F.size("exports").alias("n_exports"), again.alias("n_re_exports")).join(inner, "path", "left").na.fill(0).withColumnRenamed("path", "file_path")
+
+
+def exported_names(extracted: DataFrame) -> DataFrame:
+    """``name, file_path, by_default`` of what files export of their own.
+
+    ``by_default`` marks the name recorded right after a default export: it may be what the default import means.
+    """
+    each = extracted.select(F.col("path").alias("file_path"), F.posexplode("exports").alias("at", "e"), F.array_position(F.transform("exports", lambda x: x["name"]), "default").alias("default_at"))
+    own = each.where(~F.col("e.is_re_export") & (F.col("e.name") != "default")).select("e.name", "file_path", ((F.col("default_at") > 0) & (F.col("at") == F.col("default_at"))).alias("by_default"))
+    return own.groupBy("name", "file_path").agg(F.max("by_default").alias("by_default"))
+
+
+def dead_exports(extracted: DataFrame, edges: DataFrame, scope: str | None = None) -> DataFrame:
+    """``name, file_path`` of exports that no other file imports or exports again; an import of all of a file (``*``) saves all.
+
+    Uses within the file itself save nothing. ``scope`` is the beginning of the path.
+    """
+    exported = exported_names(extracted)
+    if scope is not None:
+        exported = exported.where(F.col("file_path").startswith(scope))
+    used = edges.where(F.col("dst").isNotNull() & (F.col("dst") != F.col("src"))).select(F.col("dst").alias("file_path"), F.explode("specifiers").alias("used")).distinct()
+    whole = used.where("used = '*'").select("file_path")
+    named = exported.join(whole, "file_path", "left_anti")
+    direct = named.join(used.withColumnRenamed("used", "name"), ["file_path", "name"], "left_anti")
+    by_default = used.where("used = 'default'").select("file_path", F.lit(True).alias("by_default"))
+    return direct.join(by_default, ["file_path", "by_default"], "left_anti").select("name", "file_path")

@@ -374,3 +374,76 @@ def cfg_blocks(spark, sf_dir):
     from lithoscope.sources import flow, sample
 
     return flow.control_flow(spark.createDataFrame(list(sample.FILES.items()), "path string, text string"))
+
+
+def _project(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, records and resolved imports of the small project."""
+    from lithoscope.operators import modules
+    from lithoscope.sources import extract, sample
+
+    files = spark.createDataFrame(list(sample.FILES.items()), "path string, text string")
+    found = extract.extract_all(files)
+    return files, found, modules.dependency_edges(found, {"@/": "/p/lib"})
+
+
+@query()
+def dfg_nodes(spark, sf_dir):
+    from lithoscope.sources import dataflow
+
+    files, _, edges = _project(spark)
+    return dataflow.nodes(dataflow.data_flow(files), edges)
+
+
+@query()
+def dfg_edges(spark, sf_dir):
+    from lithoscope.sources import dataflow
+
+    return dataflow.flow_edges(dataflow.data_flow(_project(spark)[0]))
+
+
+@query()
+def code_references(spark, sf_dir):
+    """References to one exported function, with their contexts."""
+    from lithoscope.sources import names
+
+    files, _, edges = _project(spark)
+    return names.find_references(files, edges, "/p/src/make.ts", "createShape")
+
+
+@query()
+def code_dead_exports(spark, sf_dir):
+    from lithoscope.operators import modules
+
+    _, found, edges = _project(spark)
+    return modules.dead_exports(found, edges)
+
+
+def _code_plan(operation: str, path: str, **args):
+    """A query that plans one rewrite of the small project."""
+
+    def run(spark, sf_dir):
+        from lithoscope.operators import rewrite
+
+        files, _, edges = _project(spark)
+        return rewrite.accepted(rewrite.plan(files, operation, path, edges, **args))
+
+    run.__name__ = f"code_{operation}"
+    return query()(run)
+
+
+_MAKE, _SHAPES, _STORE, _APP = "/p/src/make.ts", "/p/src/shapes.ts", "/p/src/store.ts", "/p/src/app.tsx"
+_code_plan("rename", _MAKE, name="createShape", new="makeShape")
+_code_plan("move", _SHAPES, name="Square", to=_STORE)
+_code_plan("extract_interface", _SHAPES, class_name="Disc", interface_name="Round")
+_code_plan("inline_variable", _MAKE, name="log")
+_code_plan("change_signature", _MAKE, name="createShape", add=[("color", "string", "'red'")], remove=["size"])
+_code_plan("to_arrow", _APP, name="useShapes")
+_code_plan("to_async", _APP, name="useShapes")
+_code_plan("convert_type", _SHAPES, name="Shape")
+_code_plan("modify", _MAKE, name="createShape", is_async=True, add_params=[("color", "string", None)])
+_code_plan("encapsulate", _SHAPES, class_name="Square", field_name="name")
+_code_plan("composition", _STORE, class_name="ShapeStore")
+_code_plan("class_to_functions", _STORE, class_name="ShapeStore")
+_code_plan("cjs_to_esm", "/p/lib/util.js")
+_code_plan("default_to_named", _APP)
+_code_plan("safe_delete", "/p/lib/util.js", name="unused")
