@@ -39,7 +39,7 @@ class WordTokenizer:
     """A public tokenizer that treats the runs between ASCII white space, and a run of letters and what follows, separately.
 
     So the words of a text are encoded once, and a bounded cache of words is exact: punctuation after a word of letters is
-    encoded apart from it, words of letters are encoded in lower case (as the normaliser has them) and many at
+    encoded apart from it, words are encoded in lower case (as the normaliser has them) and words of letters many at
     a time, where a token with the end-of-word mark ends each. ``alone`` is false for tokenizers of which this doesn't hold; their texts are encoded whole.
     """
 
@@ -56,10 +56,15 @@ class WordTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         tokenizer = Tokenizer.from_str(self.definition)
         tokenizer.encode_special_tokens = True
+        usual = plain = tokenizer.normalizer, tokenizer.pre_tokenizer
+        if '"ByteLevel"' in self.definition and self.alone:
+            # For small ASCII letters and single spaces between them, the normaliser and the patterns change nothing.
+            spaced = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            plain = normalizers.Sequence([]), pre_tokenizers.Sequence(spaced)
         vocabulary = tokenizer.get_vocab(True)
         size = max(vocabulary.values()) + 1
         kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -70,33 +75,41 @@ class WordTokenizer:
         def whole(texts):
             return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        def learn(words: list[bytes]) -> None:
-            """Put the words, which the cache lacks, into it."""
-            letters, others, same = {}, [], []
-            for w in words:
-                core = w.rstrip(STOPS)
-                s = core.decode()
-                small = s.lower()
-                if not (s.isalpha() and small.isalpha()):  # a capital letter may become a small one and a mark
-                    others.append(w)
-                    continue
-                if s != small and len(s) == len(small) and "\u03a3" not in s:  # a capital sigma's small form depends on its place
-                    s, lowered = small, small.encode()
-                else:
-                    lowered = core
-                letters[lowered] = s
-                if w is not lowered:
-                    same.append((w, lowered, w[len(core) :]))
-            new = [c for c in letters if c not in cache]
-            for lo in range(0, len(new), 256):
-                part = new[lo : lo + 256]
-                ids = np.array(tokenizer.encode_batch_fast([" ".join([letters[c] for c in part])], add_special_tokens=False)[0].ids, kind)
+        def learn_letters(words: list[bytes]) -> None:
+            for lo in range(0, len(words), 256):
+                part = words[lo : lo + 256]
+                ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, kind)
                 stops = (np.flatnonzero(ends[ids]) + 1).tolist()
                 if len(stops) == len(part) and stops[-1] == len(ids):
                     data, width = ids.tobytes(), kind.itemsize
                     cache.update((c, data[i * width : j * width]) for c, i, j in zip(part, [0, *stops], stops))
                 else:  # a word that isn't one run of letters to the tokenizer
-                    cache.update(zip(part, whole([letters[c] for c in part])))
+                    cache.update(zip(part, whole([c.decode() for c in part])))
+
+        def learn(words: list[bytes]) -> None:
+            """Put the words, which the cache lacks, into it."""
+            new = {w for w in words if w.isalpha()}  # of bytes: ASCII letters only
+            others, same = [], []
+            for w in words if len(new) < len(words) else ():
+                if w in new:
+                    continue
+                core = low = w.rstrip(STOPS)
+                if not core.isalpha():
+                    s = core.decode()
+                    small = s.lower()
+                    if not (s.isalpha() and small.isalpha()):  # a capital letter may become a small one and a mark
+                        others.append(w)
+                        continue
+                    # A capital sigma's small form depends on its place.
+                    low = small.encode() if len(s) == len(small) and "\u03a3" not in s else core
+                same.append((w, low, w[len(core) :]))
+            new.update(low for _, low, _ in same)
+            new.difference_update(cache)
+            ascii_only = {w for w in new if w.isascii()}
+            for part_of, steps in ((list(ascii_only), plain), (list(new - ascii_only), usual)):
+                tokenizer.normalizer, tokenizer.pre_tokenizer = steps
+                learn_letters(part_of)
+            tokenizer.normalizer, tokenizer.pre_tokenizer = usual
             tails = list({t for _, _, t in same if t not in cache})
             cache.update(zip(tails, whole([t.decode() for t in tails])))
             cache.update((w, cache[lowered] + cache[tail]) for w, lowered, tail in same)
@@ -105,11 +118,14 @@ class WordTokenizer:
         def encode(texts: list[str]) -> list[bytes]:
             if not self.alone:
                 return whole(texts)
-            # bytes.split() splits at ASCII white space only, which str.split() doesn't.
-            split = [t.encode().split() for t in texts]
+            # bytes.split() splits at ASCII white space only, which str.split() doesn't; bytes.lower() knows A-Z only.
+            split = [t.encode().lower().split() for t in texts]
+            words = set().union(*split)
             if len(cache) > 500_000:
+                known = [(w, cache[w]) for w in words.intersection(cache)]
                 cache.clear()
-            learn(list(set().union(*split).difference(cache)))
+                cache.update(known)
+            learn(list(words.difference(cache)))
             return [b"".join(map(cache.__getitem__, ws)) for ws in split]
 
         return encode, kind
