@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lithoscope.llm import bpe, chat, components, language, merkle, packing, registry, simhash, substring, topk, toxicity, urls
+from lithoscope.llm import bpe, chat, components, language, merkle, packing, registry, similar, simhash, substring, topk, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, Score string, spans int, LANG_PRED int, fp int, kept int, n_words int"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -258,6 +258,60 @@ def test_simhash_against_brute_force(spark, documents, odd, empty, hot, monkeypa
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def groups_by_similarity(rows):
+    """Components of the rows ``(id, text)`` whose sets of five-word shingles have a Jaccard index of 0.8 or more."""
+    sets = []
+    for _, t in rows:
+        w = [x.translate(simhash.LOWER) for x in words_of(t)]
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b) > 0:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [least.get(find(i)) for i in range(len(rows))]
+
+
+def near_copies():
+    """Texts, and copies of them in which more and more words are others; a passage that all texts share."""
+    rng, rows = np.random.default_rng(6), []
+    for base in range(12):
+        words = [f"b{base}x{i}" for i in range(int(rng.integers(4, 90)))] + [f"common{i}" for i in range(13)]
+        for copy in range(9):
+            mine = list(words)
+            for k in rng.integers(0, len(mine), copy // 2):
+                mine[k] = f"new{base}x{copy}x{k}"
+            rows.append((len(rows), " ".join(mine)))
+    return rows
+
+
+@pytest.mark.parametrize("sample", [similar.SAMPLE, 0])
+def test_similar_documents_against_brute_force(spark, documents, odd, empty, sample, monkeypatch):
+    monkeypatch.setattr(similar, "SAMPLE", sample)
+    for docs in (documents, odd, spark.createDataFrame(near_copies(), "doc_id long, text string").repartition(3)):
+        rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+        got = sorted(((r["doc_id"], r["component_id"]) for r in similar.near_duplicates(docs).collect()), key=str)
+        assert got == sorted(zip([i for i, _ in rows], groups_by_similarity(rows)), key=str)
+    assert similar.near_duplicates(empty).count() == 0
+
+
+def test_near_dedup_stage_keeps_one_of_similar_documents(spark):
+    rows = near_copies()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SMALL).collect())
+    assert kept == sorted(set(groups_by_similarity(rows)))
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     pairs = [(i, i + 1) for i in range(50)] + [(1000, i) for i in range(100, 160)] + [(7, 7)]
     found = {r["u"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
