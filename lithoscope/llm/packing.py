@@ -41,6 +41,7 @@ class WordTokenizer:
     So the words of a text are encoded once, and a bounded cache of words is exact: punctuation after a word of letters is
     encoded apart from it, words are encoded in lower case (as the normaliser has them) and words of letters many at
     a time, where a token with the end-of-word mark ends each. ``alone`` is false for tokenizers of which this doesn't hold; their texts are encoded whole.
+    So are texts that hold an added token as it is written: lower-casing must neither hide one nor make one of other words.
     """
 
     def __init__(self, definition: str, alone: bool = True, mark: str = "</w>"):
@@ -58,7 +59,9 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        tokenizer = Tokenizer.from_str(self.definition)
+        usual_call = Tokenizer.from_str(self.definition)
+        added = [t.content for t in usual_call.get_added_tokens_decoder().values()]
+        tokenizer = Tokenizer.from_str(self.definition)  # for words, of which none is an added token
         tokenizer.encode_special_tokens = True
         usual = plain = tokenizer.normalizer, tokenizer.pre_tokenizer
         if '"ByteLevel"' in self.definition and self.alone:
@@ -72,8 +75,8 @@ class WordTokenizer:
         ends[[i for t, i in vocabulary.items() if t.endswith(self.mark)]] = True
         cache: dict[bytes, bytes] = {}
 
-        def whole(texts):
-            return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        def whole(texts, by=tokenizer):
+            return [np.array(e.ids, kind).tobytes() for e in by.encode_batch_fast(texts, add_special_tokens=False)]
 
         def learn_letters(words: list[bytes]) -> None:
             for lo in range(0, len(words), 256):
@@ -117,7 +120,15 @@ class WordTokenizer:
 
         def encode(texts: list[str]) -> list[bytes]:
             if not self.alone:
-                return whole(texts)
+                return whole(texts, usual_call)
+            special = [i for i, t in enumerate(texts) if any(a in t for a in added)]
+            if special:
+                out, rest = [b""] * len(texts), sorted(set(range(len(texts))).difference(special))
+                for i in special:
+                    out[i] = whole([texts[i]], usual_call)[0]
+                for i, ids in zip(rest, encode([texts[i] for i in rest]) if rest else ()):
+                    out[i] = ids
+                return out
             # bytes.split() splits at ASCII white space only, which str.split() doesn't; bytes.lower() knows A-Z only.
             split = [t.encode().lower().split() for t in texts]
             words = set().union(*split)

@@ -371,6 +371,25 @@ def test_words_alone_are_encoded_as_in_a_text():
     check()
 
 
+def test_added_tokens_are_encoded_as_the_library_does(spark):
+    usual = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encode, kind = packing.WordTokenizer.load(public_tokenizers.path("word_bpe_49k.json")).ready()
+    texts = ["a <|endoftext|> b", "a <|ENDOFTEXT|> b", "É<|startoftext|>'s x\n<|EndOfText|>", "plain", "<|endoftext|>" * 3, "<|endoftext |> <|", ""]
+    want = [usual.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, kind).tolist() for x in encode(texts)] == want
+    whole, _ = packing.WordTokenizer.load(public_tokenizers.path("word_bpe_49k.json"), alone=False).ready()
+    assert [np.frombuffer(x, kind).tolist() for x in whole(texts)] == want
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "a", "É", "'s", "\u0301", "\n"]), max_size=8).map("".join))
+    def check(text):
+        assert np.frombuffer(encode([text])[0], kind).tolist() == usual.encode(text, add_special_tokens=False).ids
+
+    check()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["doc_tokens"] for r in packing.packed_pieces(docs).collect()} == {i: len(x) + 1 for i, x in enumerate(want)}
+
+
 # 8
 
 
