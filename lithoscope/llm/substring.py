@@ -1,13 +1,14 @@
 """Operator 2, substring deduplication by a log-structured index of window fingerprints.
 
 A window is ``WINDOW`` consecutive words of a document. In it, the run of ``GRAM`` words of the least hash is its anchor;
-equal windows have equal anchors, and neighbouring windows mostly share one. So an index row holds an anchor's hash, its
-document and the first of its windows, and ``CHECK`` bytes of the hash of each of its windows: 104 bits tell a window.
+equal windows have equal anchors, and neighbouring windows mostly share one. So an index row holds 24 bits of an anchor's
+hash, its document and the first of its windows, and the whole 64-bit hash of each of its windows. Words themselves are not
+compared: 88 bits tell any two windows, and 64 those that share an anchor, however common it is.
 
 - A task reads documents into a bounded memory table. Windows that a smaller document of the table has are flagged there
   and then; the rest becomes rows, so a passage that a third of all documents share gives one row a table, not a row each.
 - Rows of all tables and of earlier, immutable runs are sorted by anchor and merge-joined in one streaming pass. A window
-  counts as found only if its own hash agrees too (verification), and is flagged if a smaller document, or an earlier run,
+  counts as found only if its own 64-bit hash agrees too (verification), and is flagged if a smaller document, or an earlier run,
   has it. Of a common anchor only one entry for each of its distinct windows is held in memory.
 - ``FingerprintIndex`` keeps the sorted runs of past batches in a folder and compacts them into one.
 
@@ -34,7 +35,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 from lithoscope.llm.common import Memo, appended, plain, read, small_batches, tidy, without
 
 #: Words of a window and of an anchor; bytes of a window's hash in a row; words of a memory table.
-WINDOW, GRAM, CHECK, TABLE_WORDS = 13, 5, 5, 500_000
+WINDOW, GRAM, CHECK, TABLE_WORDS = 13, 5, 8, 500_000
 #: Odd multipliers that place words within a window, and a mixer.
 FACTORS = np.random.Generator(np.random.PCG64(13)).integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -97,7 +98,7 @@ def _table_rows(docs: list[tuple[int, int, list[bytes]]], word_hash) -> pa.Recor
     offsets *= CHECK
     d = doc_of[start]
     st = (start - first[d]) | (marks[d] << 36)
-    a = grams[at].view(np.int64)
+    a = (grams[at] >> np.uint64(40)).astype(np.int64)
     # Runs of flagged windows pass through the join as rows of four bytes.
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flagged.view(np.int8), [0]])))
     lo, hi = edge[::2], edge[1::2]
@@ -112,7 +113,7 @@ def _table_rows(docs: list[tuple[int, int, list[bytes]]], word_hash) -> pa.Recor
     ends = np.concatenate([offsets, offsets[-1] + 4 * np.arange(1, len(lo) + 1)]).astype(np.int32)
     rows = len(run) + len(lo)
     binary = pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(data)])
-    fa = _mixed(ids[fd].view(np.uint64) + own.astype(np.uint64)).view(np.int64)
+    fa = (_mixed(ids[fd].view(np.uint64) + own.astype(np.uint64)) >> np.uint64(40)).astype(np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate([a, fa])), pa.array(np.concatenate([ids[d], ids[fd]])), pa.array(np.concatenate([st, f_st])), binary], schema=ROWS
     )

@@ -135,6 +135,18 @@ def test_incremental_index_gives_what_one_batch_gives(spark, documents, tmp_path
     assert sorted(found, key=str) == kept_rows(substring.deduplicate(documents))
 
 
+def test_windows_of_one_anchor_with_hashes_alike_in_40_bits_stay(spark, monkeypatch):
+    fixed = [f"f8n{i}" for i in range(12)]
+    pairs = [(1964406, 3478916), (2531179, 832127), (68933, 989222)]
+    for pair in pairs:
+        hashes = [int(substring._hashes(np.array([xxhash.xxh64_intdigest(w) for w in [*fixed, f"x{i}"]], np.uint64), 13)[0]) for i in pair]
+        assert (hashes[0] ^ hashes[1]) % (1 << 40) == 0 and hashes[0] != hashes[1]
+    rows = [(k, " ".join([*fixed, f"x{i}"])) for k, i in enumerate(i for pair in pairs for i in pair)]
+    rows.append((len(rows), rows[0][1]))
+    monkeypatch.setattr(substring, "TABLE_WORDS", 1)  # windows meet in the merge join only
+    assert kept_rows(substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))) == removed_by_force(rows)
+
+
 # 3, 8, 9 and 10 agree with SQL
 
 
