@@ -108,6 +108,18 @@ def plain(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if void(f.dataType)})
 
 
+def parts(texts: list, rows: int = ARROW_ROWS, chars: int = 8_000_000) -> list[tuple[int, int]]:
+    """Bounds of consecutive parts of ``texts`` with at most so many rows, and characters where a part has several."""
+    out, lo, total = [], 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if isinstance(t, str) else 0
+        if i > lo and (i - lo >= rows or total + n > chars):
+            out.append((lo, i))
+            lo, total = i, 0
+        total += n
+    return [*out, (lo, len(texts))] if len(texts) else []
+
+
 class Memo(dict):
     """A bounded cache of a pure function: emptied when it has grown to ``limit``; results never depend on it.
 

@@ -17,7 +17,10 @@ each; an empty table gives no rows; only the id and text columns are read.
 from __future__ import annotations
 
 import heapq
+import re
 from bisect import bisect_right, insort
+from itertools import compress
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -25,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoscope.llm.common import read, received, sent, small_batches
+from lithoscope.llm.common import parts, read, received, sent, small_batches
 
 TIERS = (4096, 2048, 1024, 512)
 #: ASCII punctuation, which no pre-token joins to letters before it.
 STOPS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of small letters of ASCII and Latin-1, as UTF-8: letters to any tokenizer, and as the normaliser has them.
+SMALL_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Ids that a task holds before it packs them, and ids of a step group.
 BLOCK_TOKENS, STEP_TOKENS = 1_500_000, 16 * 4096
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
@@ -74,6 +79,7 @@ class WordTokenizer:
         ends = np.zeros(size, bool)
         ends[[i for t, i in vocabulary.items() if t.endswith(self.mark)]] = True
         cache: dict[bytes, bytes] = {}
+        small = SMALL_LETTERS.fullmatch
 
         def whole(texts, by=tokenizer):
             return [np.array(e.ids, kind).tobytes() for e in by.encode_batch_fast(texts, add_special_tokens=False)]
@@ -91,31 +97,41 @@ class WordTokenizer:
 
         def learn(words: list[bytes]) -> None:
             """Put the words, which the cache lacks, into it."""
-            new = {w for w in words if w.isalpha()}  # of bytes: ASCII letters only
-            others, same = [], []
-            for w in words if len(new) < len(words) else ():
-                if w in new:
-                    continue
-                core = low = w.rstrip(STOPS)
-                if not core.isalpha():
+            ends_in_letters = [w for w in words if w.isalpha()]  # of bytes: ASCII letters only
+            new, others = set(ends_in_letters), []
+            again: list[tuple[list[bytes], list[bytes]]] = []
+            if len(ends_in_letters) < len(words):
+                rest = [w for w in words if not w.isalpha()]
+                cores = [w.rstrip(STOPS) for w in rest]
+                easy = [c.isalpha() or small(c) is not None for c in cores]
+                own = list(compress(rest, easy))
+                again.append((own, list(compress(cores, easy))))
+                new.update(again[0][1])
+                hard, hard_lower = [], []
+                for w, core, known in zip(rest, cores, easy):
+                    if known:
+                        continue
                     s = core.decode()
-                    small = s.lower()
-                    if not (s.isalpha() and small.isalpha()):  # a capital letter may become a small one and a mark
+                    low = s.lower()
+                    if not (s.isalpha() and low.isalpha()):  # a capital letter may become a small one and a mark
                         others.append(w)
                         continue
+                    hard.append(w)
                     # A capital sigma's small form depends on its place.
-                    low = small.encode() if len(s) == len(small) and "\u03a3" not in s else core
-                same.append((w, low, w[len(core) :]))
-            new.update(low for _, low, _ in same)
-            new.difference_update(cache)
-            ascii_only = {w for w in new if w.isascii()}
-            for part_of, steps in ((list(ascii_only), plain), (list(new - ascii_only), usual)):
+                    hard_lower.append(low.encode() if len(s) == len(low) and "\u03a3" not in s else core)
+                again.append((hard, hard_lower))
+                new.update(hard_lower)
+            new = new.difference(cache)  # looks up the new ones, where an update would walk through the cache
+            ascii_only = [w for w in new if w.isascii()]
+            for part_of, steps in ((ascii_only, plain), ([w for w in new if not w.isascii()], usual)):
                 tokenizer.normalizer, tokenizer.pre_tokenizer = steps
                 learn_letters(part_of)
             tokenizer.normalizer, tokenizer.pre_tokenizer = usual
-            tails = list({t for _, _, t in same if t not in cache})
-            cache.update(zip(tails, whole([t.decode() for t in tails])))
-            cache.update((w, cache[lowered] + cache[tail]) for w, lowered, tail in same)
+            for own, lowered in again:
+                after = [w[len(w.rstrip(STOPS)) :] for w in own]
+                tails = list(set(after).difference(cache))
+                cache.update(zip(tails, whole([t.decode() for t in tails])))
+                cache.update(zip(own, map(add, map(cache.__getitem__, lowered), map(cache.__getitem__, after))))
             cache.update(zip(others, whole([w.decode() for w in others])))
 
         def encode(texts: list[str]) -> list[bytes]:
@@ -251,8 +267,8 @@ def pack_documents(docs: DataFrame, tokenizer: WordTokenizer, end_id: int, id_co
 
         for b in batches:
             texts = [t if t is not None else "" for t in b["text"]]
-            for lo in range(0, len(texts), 500):
-                for doc_id, ids in zip(b["doc_id"][lo : lo + 500], encode(texts[lo : lo + 500])):
+            for lo, hi in parts(texts):
+                for doc_id, ids in zip(b["doc_id"][lo:hi], encode(texts[lo:hi])):
                     packer.add(doc_id, np.concatenate([np.frombuffer(ids, kind), end]))
                     if packer.held >= BLOCK_TOKENS:
                         yield frame(packer.pack(False))
