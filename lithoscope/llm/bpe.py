@@ -17,6 +17,7 @@ n log n steps; repeated rows and ids are encoded each; other columns stay, those
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 
@@ -26,7 +27,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from lithoscope.llm.common import Memo, appended, plain, read, received, sent, without
 
@@ -85,43 +86,50 @@ class Encoder:
     def ready(self) -> tuple:
         """``encode(text) -> uint32 ids as bytes`` and ``decode(bytes) -> bytes``, with caches of their own."""
         find, ids, tokens = self.table.find, self.ids, self.tokens
-        packed, pop, push = [i.to_bytes(4, "little") for i in ids], heapq.heappop, heapq.heappush
-        if len(tokens) > 1 << 20:
-            raise ValueError("more than 2**20 tokens")
+        packed, heapify, pop, push, replace = [i.to_bytes(4, "little") for i in ids], heapq.heapify, heapq.heappop, heapq.heappush, heapq.heapreplace
+        bits = len(tokens).bit_length()
+        mask = (1 << bits) - 1
         single = [find(bytes([b])) for b in range(256)]
         if min(single) < 0:
             raise ValueError("the vocabulary lacks single bytes")
         # A pair of tokens to the token they make, or -1. Tokens are numbered by rank, so the least number merges first.
-        pairs = Memo(lambda p: find(tokens[p >> 20] + tokens[p & 0xFFFFF]), 1_000_000)
+        pairs = Memo(lambda p: find(tokens[p >> bits] + tokens[p & mask]), 1_000_000)
+
+        first_makes = [pairs[a << bits | b] for a in single for b in single]  # by two bytes
 
         def merged(piece: bytes) -> list[int]:
-            at = [single[b] for b in piece]
-            n = len(at)
+            n = len(piece)
             shift = n.bit_length()
             low = (1 << shift) - 1
-            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            makes = [pairs[a << 20 | b] for a, b in zip(at, at[1:])]  # what each place and the next now make
-            makes.append(-1)
+            at = [single[b] for b in piece]
+            makes = [first_makes[a << 8 | b] for a, b in zip(piece, piece[1:])]  # what each place and the next now make
             heap = [t << shift | i for i, t in enumerate(makes) if t >= 0]
-            heapq.heapify(heap)
+            if not heap:
+                return at
+            makes.append(-1)
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            heapify(heap)
             while heap:
-                e = pop(heap)
+                e = heap[0]
                 i, t = e & low, e >> shift
                 if makes[i] != t:
-                    continue  # stale: one of the pair has been merged
+                    pop(heap)  # stale: one of the pair has been merged
+                    continue
                 j = after[i]
                 at[i], at[j], makes[j] = t, -1, -1
                 after[i] = k = after[j]
+                u = -1
                 if k < n:
                     before[k] = i
-                    makes[i] = u = pairs[t << 20 | at[k]]
-                    if u >= 0:
-                        push(heap, u << shift | i)
+                    u = pairs[t << bits | at[k]]
+                makes[i] = u
+                if u >= 0:
+                    replace(heap, u << shift | i)
                 else:
-                    makes[i] = -1
+                    pop(heap)
                 h = before[i]
                 if h >= 0:
-                    makes[h] = u = pairs[at[h] << 20 | t]
+                    makes[h] = u = pairs[at[h] << bits | t]
                     if u >= 0:
                         push(heap, u << shift | h)
             return [x for x in at if x >= 0]
@@ -129,17 +137,27 @@ class Encoder:
         def pre_token(p: str) -> bytes:
             key = p.encode()
             i = find(key)
-            return packed[i] if i >= 0 else b"".join(map(packed.__getitem__, merged(key)))
+            return packed[i] if i >= 0 else b"".join([packed[x] for x in merged(key)])
 
         match = regex.compile(self.pattern).findall
         piece = Memo(pre_token, 300_000, 64).__getitem__
-        span = Memo(lambda s: b"".join(map(piece, match(s))), 600_000, 64).__getitem__
+
+        def matched(s: str) -> bytes:
+            return b"".join(map(piece, match(s)))
+
+        def spaced(s: str) -> bytes:
+            """The encoding of a space and ``s``, which has no space; such ASCII letters are one pre-token."""
+            return pre_token(" " + s) if letters_alone and s.isalpha() and s.isascii() else matched(" " + s)
+
+        letters_alone = match(" az ZA\u00e9") == [" az", " ZA\u00e9"] and " ?\\p{L}+" in self.pattern
+        span = Memo(matched, 100_000, 64).__getitem__
+        after_space = Memo(spaced, 600_000, 64).__getitem__
 
         def encode(text: str) -> bytes:
             if UNSAFE.search(text):
-                return b"".join(map(piece, match(text)))
+                return matched(text)
             first, *rest = text.split(" ")
-            return span(first) + b"".join(map(span, map(" ".__add__, rest)))
+            return span(first) + b"".join(map(after_space, rest))
 
         place = {x: t for x, t in zip(ids, tokens)}
 
@@ -177,11 +195,32 @@ def decode_documents(encoded: DataFrame, encoder: Encoder) -> DataFrame:
     return encoded.mapInPandas(run, appended(encoded.schema, [StructField("decoded", BinaryType())]))
 
 
+def round_trip(docs: DataFrame, encoder: Encoder, text_col: str = "text") -> DataFrame:
+    """``docs`` without its text, with ``n_tokens`` and the SHA-256 of the ids and of the bytes decoded from them again.
+
+    The ids are made and read in one pass and go no further than the task; a null text is an empty one.
+    """
+    docs = plain(docs)
+    held = sent(docs, encoder)
+    added = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = without(docs, [*added, text_col])
+
+    def run(batches):
+        encode, decode = received(held).ready()
+        for b in batches:
+            rows = []
+            for t in b.pop("__text"):
+                ids = encode(t) if t is not None else b""
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode(ids)).hexdigest()))
+            yield b.assign(**{c: [r[i] for r in rows] for i, c in enumerate(added)})
+
+    kinds = zip(added, (LongType(), StringType(), StringType()))
+    return docs.select(*kept.columns, F.col(f"`{text_col}`").alias("__text")).mapInPandas(run, appended(kept.schema, [StructField(n, k) for n, k in kinds]))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``, encoded and decoded again; digests of both."""
     import public_tokenizers
 
     encoder = Encoder.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = decode_documents(encode_documents(docs, encoder), encoder)
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), encoder)
