@@ -18,6 +18,8 @@ same name.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -26,10 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from lithoscope.llm.common import appended, checkpoint, plain, read, tidy, without
-from lithoscope.llm.components import components
+from lithoscope.llm.components import named_by_least
 
 #: Distinct fingerprints of a bucket beyond which it is split.
 HOT, LEVELS = 4_096, 3
+#: Hashes that are held as bits at once (64 bytes each), and bytes of a text that are split into words at once.
+HELD, PART_BYTES = 100_000, 4_000_000
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -44,11 +49,7 @@ def masks(radius: int, family: int = 0) -> list[int]:
     return out
 
 
-def shingle_hashes(text: str | None, words: int) -> list[int]:
-    """XXH64 (seed 42) of the shingles of a text, A-Z lower-cased; words are runs without ASCII white space."""
-    w = text.encode().translate(LOWER).split() if text else []
-    if not w:
-        return []
+def _hashes(w: list[bytes], words: int) -> np.ndarray:
     line = b" ".join(w)
     ends, at = [], -1
     for x in w:
@@ -56,35 +57,70 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
         ends.append(at)
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
-    if len(w) <= words:
-        return [digest(line, 42)]
-    return [digest(line[a:b], 42) for a, b in zip(starts, ends[words - 1 :])]
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[words - 1 :])], np.uint64)
+
+
+def shingle_parts(text: str | None, words: int):
+    """XXH64 (seed 42) of the shingles of a text, A-Z lower-cased, in arrays of bounded size; words are runs without ASCII
+    white space."""
+    data = text.encode().translate(LOWER) if text else b""
+    carry: list[bytes] = []
+    lo, any_yet = 0, False
+    while lo < len(data):
+        hi = len(data)
+        if hi - lo > PART_BYTES:
+            gap = WHITE.search(data, lo + PART_BYTES)
+            hi = gap.start() if gap else hi
+        w = carry + (data[lo:hi] if lo or hi < len(data) else data).split()
+        if len(w) >= words:
+            any_yet = True
+            yield _hashes(w, words)
+        carry, lo = w[max(0, len(w) - words + 1) :] if words > 1 else [], hi
+    if carry and not any_yet:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carry), 42)], np.uint64)
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """All of ``shingle_parts`` in one array."""
+    found = list(shingle_parts(text, words))
+    return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, np.uint64), *found])
+
+
+def set_bits(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each array of hashes how many have each of the 64 bits, and how many there are."""
+    sizes = np.array([len(h) for h in hashes])
+    bits = np.unpackbits(np.concatenate(hashes).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0, dtype=np.int64), sizes
 
 
 def fingerprints(texts, words: int) -> np.ndarray:
-    """A signed 64-bit fingerprint for each text."""
-    out = np.zeros(len(texts), np.int64)
+    """A signed 64-bit fingerprint for each text; at most ``HELD`` hashes are unfolded into bits at once."""
+    counts, sizes = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     held, rows, total = [], [], 0
 
     def flush():
         if rows:
-            sizes = np.array([len(h) for h in held])
-            bits = np.unpackbits(np.concatenate(held).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            counts = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0, dtype=np.int64)
-            out[rows] = np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+            c, n = set_bits(held)
+            np.add.at(counts, rows, c)
+            np.add.at(sizes, rows, n)
         held.clear(), rows.clear()
 
     for i, t in enumerate(texts):
-        h = shingle_hashes(t if isinstance(t, str) else None, words)
-        if h:
-            held.append(np.array(h, np.uint64))
-            rows.append(i)
-            total += len(h)
-            if total > 200_000:
-                flush()
-                total = 0
+        for h in shingle_parts(t if isinstance(t, str) else None, words):
+            for lo in range(0, len(h), HELD):
+                held.append(h[lo : lo + HELD])
+                rows.append(i)
+                total += len(held[-1])
+                if total > HELD:
+                    flush()
+                    total = 0
     flush()
-    return out
+    return folded(counts, sizes)
+
+
+def folded(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints: a bit is 1 if over half of the hashes have it."""
+    return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
 
 
 def with_fingerprint(docs: DataFrame, words: int = 4, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -171,14 +207,20 @@ def links(fps: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
         rows = checkpoint(rows.join(over, ["path", "key"], "left_semi").select("path", "mask", "fp"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = 4, words: int = 4, text_col: str = "text") -> DataFrame:
-    """``id, fp, component_id`` for each row of ``docs``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = 4, words: int = 4, text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """``id, fp, component_id`` for each row of ``docs``.
+
+    With ``similarity``, groups are of texts whose sets of shingles have a Jaccard index of that or more, not of
+    fingerprints within ``radius``: see ``similar``, which checks the links found here and finds those beyond the radius.
+    """
+    if similarity is not None:
+        from lithoscope.llm import similar
+
+        return similar.near_duplicates(docs, id_col, words, text_col, similarity, radius)
     marked = checkpoint(with_fingerprint(docs.select(F.col(id_col), F.col(text_col).alias("text")), words, keep_text=False))
     distinct = checkpoint(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = components(links(distinct.select("fp"), radius))
-    placed = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(placed.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    named = named_by_least(distinct, "fp", links(distinct.select("fp"), radius))
+    return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
