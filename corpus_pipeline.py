@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoscope.llm import language, packing, similar, substring, toxicity
+from lithoscope.llm import language, packing, simhash, substring, toxicity
 from lithoscope.llm.common import read, remove, written
 
 #: A document is rejected as toxic from this score on; as of no known language under this cosine.
@@ -33,7 +33,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, by similarity of five-word shingles."""
-    groups = similar.near_duplicates(docs)
+    groups = simhash.near_duplicates(docs, words=5, similarity=0.8)
     others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
