@@ -8,8 +8,8 @@ themselves, and prefix filtering finds the pairs beyond the radius, so that the
   floor((q - p) n / q) + 1 shingles that come first in any one order of all shingles, and these prefixes share one. The order
   is by the count in a sample of documents, then by hash: shingles of common passages come last, so that hardly any prefix
   holds them. The sample changes the work, never the result. Sets that share a shingle of their prefixes make a bucket.
-- Of pairs of a bucket, those whose parity bitmaps differ in more bits than the sets may differ in shingles go at once; whole
-  sets are read again only for the few pairs left, and compared.
+- Of pairs of a bucket, those whose parity bitmaps (a coarse one first) differ in more bits than the sets may differ in
+  shingles go at once; whole sets are read again only for the few pairs left, and compared.
 - First each bucket's sets are compared with one of them, the pivot, and components are made of what this and the
   fingerprints give. Then a bucket's sets outside its commonest component are compared with all of other components. So
   a large group of near copies costs comparisons with few of its members, and no pair is left out.
@@ -39,8 +39,8 @@ from lithoscope.llm.components import components, named_by_least
 WORDS, SIMILARITY = 5, 0.8
 #: Documents of the sample, and the shingles of it that are held with their counts.
 SAMPLE, COMMON = 10_000, 200_000
-#: Bits of a set's parity bitmap, and of the filter of candidates.
-PARITY_BITS, FILTER_BITS = 1_024, 1 << 24
+#: Bits of a set's coarse bitmap, and of the filter of candidates.
+COARSE_BITS, FILTER_BITS = 512, 1 << 24
 #: Sets of a block of a bucket, and pairs that are looked at together.
 BLOCK, PAIRS = 4_096, 200_000
 
@@ -77,9 +77,22 @@ class Likeness:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """A bit for each slot: whether an odd number of the shingles fall in it. Each shingle that one of two sets lacks turns one bit."""
-    slot = (s >> np.uint64(20)) & np.uint64(PARITY_BITS - 1)
-    return np.packbits(np.bincount(slot.astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+    """A bit for each slot: whether an odd number of the shingles fall in it. Each shingle that one of two sets lacks turns
+    one bit. There are twice as many slots as shingles or more."""
+    bits = max(COARSE_BITS, 1 << (2 * len(s)).bit_length())
+    slot = (s >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(slot.astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def halved(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set with fewer slots."""
+    while len(bitmap) > size:
+        bitmap = bitmap[: len(bitmap) // 2] ^ bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
+def coarse(bitmap: bytes) -> bytes:
+    return halved(np.frombuffer(bitmap, np.uint8), COARSE_BITS // 8).tobytes()
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +124,9 @@ def prefix(s: np.ndarray, size: int, common: tuple[np.ndarray, np.ndarray]) -> n
 
 
 def marked_sets(docs: DataFrame, id_col: str, words: int, like: Likeness) -> DataFrame:
-    """``id, th, set_id, n, fp, parity, keys`` for each row of ``docs(id, th, text)``: one pass over all texts."""
+    """``id, th, set_id, n, fp, parity, coarse, keys`` for each row of ``docs(id, th, text)``: one pass over all texts."""
     held = sent(docs, common_shingles(docs, words))
-    extra = [StructField("set_id", LongType()), StructField("n", LongType()), StructField("fp", LongType()), StructField("parity", BinaryType()), StructField("keys", ArrayType(LongType()))]
+    extra = [StructField("set_id", LongType()), StructField("n", LongType()), StructField("fp", LongType()), StructField("parity", BinaryType()), StructField("coarse", BinaryType()), StructField("keys", ArrayType(LongType()))]
 
     def run(batches):
         common = received(held)
@@ -139,8 +152,8 @@ def marked_sets(docs: DataFrame, id_col: str, words: int, like: Likeness) -> Dat
                 own = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), own.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(simhash.folded(counts, shingles)),
-                     pa.array(bitmaps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))],
-                    names=[id_col, "th", "set_id", "n", "fp", "parity", "keys"],
+                     pa.array(bitmaps, pa.binary()), pa.array(list(map(coarse, bitmaps)), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))],
+                    names=[id_col, "th", "set_id", "n", "fp", "parity", "coarse", "keys"],
                 )
 
     return docs.select(id_col, "th", "text").mapInArrow(run, appended(docs.select(id_col, "th").schema, extra))
@@ -174,10 +187,9 @@ def shared_keys(batches):
 
 
 def buckets(sets: DataFrame) -> DataFrame:
-    """``key, set_id, n, parity``: members of the buckets of two or more sets; bitmaps go to these alone."""
-    rows = sets.select(F.explode("keys").alias("key"), "set_id")
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared_keys, "key long, set_id long")
-    return found.join(sets.select("set_id", "n", "parity"), "set_id").select("key", "set_id", "n", "parity")
+    """``key, set_id, n``: members of the buckets of two or more sets."""
+    rows = sets.select(F.explode("keys").alias("key"), "set_id", "n")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared_keys, "key long, set_id long, n long")
 
 
 def _pair_blocks(key, probe, root, stars):
@@ -217,12 +229,29 @@ def _pair_blocks(key, probe, root, stars):
             yield np.repeat(part, len(members)), np.tile(members, len(part))
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs but for those whose bitmaps rule out that their sets are alike."""
+    one, two = (sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in "uv")
+
+    def run(batches):
+        for b in batches:
+            differing = []
+            for x, y in zip(b["p_u"], b["p_v"]):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                differing.append(np.bitwise_count(halved(x, size) ^ halved(y, size)).sum(dtype=np.int64))
+            yield b.loc[like.may_differ(np.array(differing, np.int64), b["n_u"].to_numpy(), b["n_v"].to_numpy()), ["u", "v"]]
+
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "n_u", "n_v", "p_u", "p_v").mapInPandas(run, "u long, v long")
+
+
 def near_pairs(members: DataFrame, stars: bool, like: Likeness) -> DataFrame:
-    """Distinct pairs ``u, v`` of a bucket's sets of other ``root`` that sizes and bitmaps let be alike: with the bucket's
-    pivot, or of all that aren't in its commonest component with all."""
+    """Distinct pairs ``u, v`` of a bucket's sets of near sizes: with the bucket's pivot; or of other ``root``, of all that
+    aren't in the bucket's commonest component with all, if their bitmaps let them be alike."""
+    payload = [] if stars else ["root", "coarse"]
     hot = checkpoint(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
     if hot.isEmpty():
-        dealt = members.select(F.col("key").alias("bucket"), F.lit(2).alias("probe"), "key", "set_id", "n", "root", "parity")
+        dealt = members.select(F.col("key").alias("bucket"), F.lit(2).cast("byte").alias("probe"), "key", "set_id", "n", *payload)
     else:
         own = members.join(hot, "key")
         if stars:
@@ -233,23 +262,25 @@ def near_pairs(members: DataFrame, stars: bool, like: Likeness) -> DataFrame:
             asks = F.col("root") != F.col("chosen")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         place = F.concat(
-            F.array(F.struct(F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block"), F.lit(0).alias("probe"))),
-            F.when(asks, F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(i.alias("block"), F.lit(1).alias("probe")))).otherwise(F.array()),
+            F.array(F.struct(F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block"), F.lit(0).cast("byte").alias("probe"))),
+            F.when(asks, F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(i.alias("block"), F.lit(1).cast("byte").alias("probe")))).otherwise(F.array()),
         )
-        placed = members.join(chosen, "key", "left").withColumn("p", F.explode(F.when(F.col("size").isNull(), F.array(F.struct(F.lit(0).alias("block"), F.lit(2).alias("probe")))).otherwise(place)))
+        placed = members.join(chosen, "key", "left").withColumn("p", F.explode(F.when(F.col("size").isNull(), F.array(F.struct(F.lit(0).alias("block"), F.lit(2).cast("byte").alias("probe")))).otherwise(place)))
         bucket = F.when(F.col("size").isNull(), F.col("key")).otherwise(F.xxhash64("key", "p.block"))
-        dealt = placed.select(bucket.alias("bucket"), F.col("p.probe").alias("probe"), "key", "set_id", "n", "root", "parity")
+        dealt = placed.select(bucket.alias("bucket"), F.col("p.probe").alias("probe"), "key", "set_id", "n", *payload)
 
     def found(rows):
-        key, probe, ids, n, root, bitmaps = rows
+        key, probe, ids, n, root, *bitmaps = rows
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in _pair_blocks(key, probe, root, stars):
             for at in range(0, len(a), PAIRS):
                 x, y = a[at : at + PAIRS], b[at : at + PAIRS]
                 ok = (root[x] != root[y]) & (ids[x] != ids[y]) & like.near_size(n[x], n[y])
                 x, y = x[ok], y[ok]
-                differing = np.bitwise_count(bitmaps[x] ^ bitmaps[y]).sum(axis=1, dtype=np.int64)
-                ok = like.may_differ(differing, n[x], n[y])
+                ok = slice(None)
+                if bitmaps:
+                    differing = np.bitwise_count(bitmaps[0][x] ^ bitmaps[0][y]).sum(axis=1, dtype=np.int64)
+                    ok = like.may_differ(differing, n[x], n[y])
                 us.append(np.minimum(ids[x[ok]], ids[y[ok]])), vs.append(np.maximum(ids[x[ok]], ids[y[ok]]))
         return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}).drop_duplicates()
 
@@ -262,7 +293,8 @@ def near_pairs(members: DataFrame, stars: bool, like: Likeness) -> DataFrame:
                 continue
             # A block's bucket is a hash, so buckets are told apart by their key, too.
             key = (b["bucket"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b["key"].to_numpy().view(np.uint64)).view(np.int64)
-            now = [key, b["probe"].to_numpy(), b["set_id"].to_numpy(), b["n"].to_numpy(), b["root"].to_numpy(), np.frombuffer(b"".join(b["parity"]), np.uint64).reshape(len(b), -1)]
+            now = [key, b["probe"].to_numpy(), b["set_id"].to_numpy(), b["n"].to_numpy()]
+            now += [now[2]] if stars else [b["root"].to_numpy(), np.frombuffer(b"".join(b["coarse"]), np.uint64).reshape(len(b), -1)]
             rows = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             other = np.flatnonzero(rows[0] != rows[0][-1])
             cut = int(other[-1]) + 1 if len(other) else 0
@@ -346,12 +378,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS,
     like = Likeness(similarity)
     docs = plain(docs.select(F.col(id_col), F.col(text_col).alias("text"))).withColumn("th", F.xxhash64("text"))
     marked = checkpoint(marked_sets(docs, id_col, words, like))
-    sets = checkpoint(marked.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("n", "fp", "parity", "keys", "th")], F.min(id_col).alias("least")))
+    sets = checkpoint(marked.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("n", "fp", "parity", "coarse", "keys", "th")], F.min(id_col).alias("least")))
     members = checkpoint(buckets(sets))
-    by_star = near_pairs(members.withColumn("root", F.col("set_id")), True, like)
-    first = checkpoint(verified(docs, sets, checkpoint(by_star.unionByName(fingerprint_pairs(sets, radius, like)).distinct()), words, like))
+    candidates = near_pairs(members, True, like).unionByName(fingerprint_pairs(sets, radius, like)).distinct()
+    first = checkpoint(verified(docs, sets, checkpoint(plausible(candidates, sets, like)), words, like))
     roots = components(first).select(F.col("u").alias("set_id"), F.col("root").alias("r"))
-    placed = members.join(roots, "set_id", "left").select("key", "set_id", "n", "parity", F.coalesce("r", "set_id").alias("root"))
-    second = checkpoint(verified(docs, sets, checkpoint(near_pairs(placed, False, like)), words, like))
+    placed = members.join(roots, "set_id", "left").join(sets.select("set_id", "coarse"), "set_id").select("key", "set_id", "n", "coarse", F.coalesce("r", "set_id").alias("root"))
+    second = checkpoint(verified(docs, sets, checkpoint(plausible(near_pairs(placed, False, like), sets, like)), words, like))
     named = named_by_least(sets.select("set_id", "least"), "set_id", first.unionByName(second))
     return marked.select(id_col, "set_id").join(named, "set_id").select(id_col, "set_id", "component_id")
