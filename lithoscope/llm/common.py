@@ -58,20 +58,20 @@ def unit_hash(*cols):
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)).cast("double") / float(1 << 30)
 
 
-def bounded_sample(df: DataFrame, keys: list[str], by: str, per_class: int, max_classes: int = 256) -> DataFrame:
-    """About ``per_class`` rows (at most twice as many on average) of each of the ``max_classes`` commonest values of ``by``.
+#: Classes up to this number are sent to all executors as a table of rates; more are joined by shuffles.
+BROADCAST_CLASSES = 100_000
+
+
+def bounded_sample(df: DataFrame, keys: list[str], by: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows of each value of ``by``, with ``rate``, the share of the value's rows that was taken.
 
     Rows are chosen by a hash of ``keys``, at a rate set from the size of each class, so that the bound is the same for
-    every input and no group is gathered in one task. Only the counts come to the driver.
+    every input and no group is gathered in one task. Every class is in the sample; only their number comes to the driver.
     """
-    sizes = df.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by).limit(max_classes).collect()
-    if not sizes:
-        return df.limit(0)
-    rate = F.lit(0.0)
-    for row in sizes:
-        rate = F.when(F.col(by) == F.lit(row[by]), F.lit(min(1.0, per_class / row["count"]))).otherwise(rate)
-    u = unit_hash(*keys)
-    return df.where(u < rate).orderBy(u, *keys).limit(2 * per_class * len(sizes))
+    df = df.where(F.col(by).isNotNull())
+    rates = checkpoint(df.groupBy(by).count().select(by, F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("count")).alias("rate")))
+    few = rates.count() <= BROADCAST_CLASSES
+    return df.join(F.broadcast(rates) if few else rates, by).where(unit_hash(*keys) < F.col("rate"))
 
 
 def appended(schema: StructType, extra: list[StructField]) -> StructType:

@@ -19,6 +19,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op3_url_filter": urls.OP3_SQL, "op8_chat_format": chat.OP8_SQL, "op9_fingerprints": merkle.OP9_SQL, "op10_exact_topk": topk.OP10_SQL}
+ORACLE_SQL = {"op2_substring_dedup": substring.OP2_SQL, "op3_url_filter": urls.OP3_SQL, "op8_chat_format": chat.OP8_SQL, "op9_fingerprints": merkle.OP9_SQL, "op10_exact_topk": topk.OP10_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

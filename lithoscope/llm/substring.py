@@ -295,19 +295,22 @@ class FingerprintIndex:
 
     def rows(self) -> DataFrame | None:
         runs = self.runs()
-        return self.spark.read.schema(ROWS_DDL).parquet(*runs) if runs else None
+        return self.spark.read.schema(ROWS_DDL).parquet(*runs).where(F.octet_length("windows") > 4) if runs else None
 
     def _write(self, rows: DataFrame) -> str:
         path = f"{self.path}/run-{len(self.runs()):06d}-{uuid.uuid4().hex[:8]}"
-        rows.where(F.octet_length("windows") > 4).repartition("a").sortWithinPartitions("a", "doc").write.option("compression", "zstd").parquet(path)
+        rows.repartition("a").sortWithinPartitions("a", "doc").write.option("compression", "zstd").parquet(path)
         return path
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Deduplicate a batch against itself and all runs, and append its run. Every past document counts as smaller."""
+        """Deduplicate a batch against itself and all runs, and append its run. Every past document counts as smaller.
+
+        The batch's rows are computed once, into its run; what its memory tables flagged lies there too, and is not read
+        as history.
+        """
         history = self.rows()
-        own = index_rows(docs, id_col, text_col)
-        path = self._write(own)
-        rows = self.spark.read.schema(ROWS_DDL).parquet(path).unionByName(own.where(F.octet_length("windows") == 4))
+        path = self._write(index_rows(docs, id_col, text_col))
+        rows = self.spark.read.schema(ROWS_DDL).parquet(path)
         if history is not None:
             rows = rows.unionByName(history.select("a", F.lit(EARLIER).alias("doc"), "st", "windows"))
         return remove_flagged(docs, flags(rows), id_col, text_col)
@@ -327,3 +330,17 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` without passages of 13 words or more that a smaller document has."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return deduplicate(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM texts),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM texts)),
+firsts AS (SELECT k, min(doc_id) AS doc_id FROM windows GROUP BY k),
+covered AS (SELECT DISTINCT x.doc_id, x.i + j.j AS i FROM windows x JOIN firsts f ON x.k = f.k AND x.doc_id > f.doc_id CROSS JOIN range(0, 13) j(j)),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS kept
+  FROM words ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""

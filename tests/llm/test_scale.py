@@ -2,11 +2,10 @@
 
 import numpy as np
 import pytest
-from conftest import SMALL, same_rows
 from pyspark.sql import functions as F
-from test_llm import TEXTS, groups_by_similarity, near_copies, odd  # noqa: F401
+from test_llm import groups_by_similarity, near_copies
 
-from lithoscope.llm import registry, similar, simhash, substring, topk
+from lithoscope.llm import language, similar, simhash, topk
 
 
 def by_force(data, k=5):
@@ -74,3 +73,52 @@ def test_bitmaps_never_rule_out_what_is_alike():
             empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             if like.alike(len(s), len(t), both):
                 assert np.intersect1d(similar.prefix(s, like.prefix(len(s)), empty), similar.prefix(t, like.prefix(len(t)), empty)).size
+
+
+def test_language_vectors_against_plain_bundling(monkeypatch):
+    texts = ["Ab ça!! ab", "x", "12 %%", None, "", "Größe größe der, die", "!a", "a!", " 12 ab  cd. " * 40, "日本語 日本"]
+
+    def plainly(space, text):
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        if not letters.strip():
+            return np.zeros(space.dimensions)
+        padded = " " + " ".join(letters.split()) + " "
+        total = np.zeros(space.dimensions)
+        for i in range(len(padded) - 2):
+            v = np.ones(space.dimensions)
+            for k, c in enumerate(reversed(padded[i : i + 3])):
+                v = v * np.roll(space.letter(ord(c)), k)
+            total += v
+        return total
+
+    space = language.Space(256)
+    got, letters = space.vectors(texts)
+    want = np.array([plainly(space, t) for t in texts])
+    assert (got == want).all() and letters.tolist() == [bool(t) and any(c.isalpha() for c in t) for t in texts]
+    for name, value in (("SLICE", 3), ("TABLE", 5), ("PART_CHARS", 4), ("LETTER_TABLE", 2)):
+        monkeypatch.setattr(language, name, value)
+        assert (language.Space(256).vectors(texts)[0] == want).all()
+    prototypes = language.Profiles(space, ["one", "two"], np.array([want[0], want[5]]) / np.sqrt((want[[0, 5]] ** 2).sum(1))[:, None])
+    lang, score = prototypes.predict(texts)
+    for i, t in enumerate(texts):
+        cosine = [float(want[i] @ want[j]) / (np.linalg.norm(want[i]) * np.linalg.norm(want[j]) or 1) for j in (0, 5)]
+        assert lang[i] == ("und" if not want[i].any() else ["one", "two"][int(np.argmax(cosine))]) and np.isclose(score[i], max(0, *cosine) if want[i].any() else 0)
+
+
+def test_language_memory_is_bounded():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 1_000))) for _ in range(60)]
+    space = language.Space()
+    space.vectors(["a"])
+    tracemalloc.start()
+    space.vectors(texts)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i // 3) * 5} word", f"l{i // 3:03}") for i in range(900)]
+    profiles = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert profiles.languages == [f"l{i:03}" for i in range(300)]
