@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -13,18 +15,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NullType, StructField, StructType
 
 
+#: Folders of local sessions that name none, by application.
+LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The whole table ``table`` under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from the session; a local one only where none is set."""
+    """The folder that the driver and all executors share, from the session's ``spark.checkpoint.dir``.
+
+    Only where it is unset and the master is local, as in tests, a temporary one is made (and removed at exit); on a cluster
+    its absence is an error, since executors could not read what the driver names.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lithoscope-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark.sparkContext.applicationId not in LOCAL_FOLDERS:
+        made = tempfile.mkdtemp(prefix="lithoscope-")
+        atexit.register(shutil.rmtree, made, True)
+        LOCAL_FOLDERS[spark.sparkContext.applicationId] = "file://" + made
+    return LOCAL_FOLDERS[spark.sparkContext.applicationId]
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

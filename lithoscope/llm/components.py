@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def named_by_least(things: DataFrame, key: str, links: DataFrame) -> DataFrame:
-    """``key, component_id`` for ``things(key, least)``, whose ``links(u, v)`` are pairs of keys.
+    """``key, component, component_id`` for ``things(key, least)`` (the key of its smallest vertex, and its least id), whose ``links(u, v)`` are pairs of keys.
 
     A vertex is known by its least id and its key, nulls last, so a component's smallest vertex bears its least id, and no
     join over whole components is needed to find it. A null id names a component only if there is no other.
@@ -44,6 +44,7 @@ def named_by_least(things: DataFrame, key: str, links: DataFrame) -> DataFrame:
     known = things.select(F.col(key).alias("k"), vertex.alias("x"))
     edges = links.join(known.select(F.col("k").alias("u"), F.col("x").alias("a")), "u").join(known.select(F.col("k").alias("v"), F.col("x").alias("b")), "v")
     roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return things.join(roots.select(F.col("u.key").alias(key), F.col("root.least").alias("r"), F.lit(True).alias("linked")), key, "left").select(
-        key, F.when(F.col("linked"), F.col("r")).otherwise(F.col("least")).alias("component_id")
+    return things.join(roots.select(F.col("u.key").alias(key), "root"), key, "left").select(
+        key, F.coalesce(F.col("root.key"), F.col(key)).alias("component"),
+        F.when(F.col("root").isNotNull(), F.col("root.least")).otherwise(F.col("least")).alias("component_id"),
     )

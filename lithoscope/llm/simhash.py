@@ -223,6 +223,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = 4, wo
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", words: int = 5, text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of ``near_duplicates`` by similarity."""
+    from lithoscope.llm import similar
+
+    return similar.one_of_each_group(docs, id_col, words, text_col, similarity)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of every whole text of ``documents``."""
     found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))

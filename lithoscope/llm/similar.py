@@ -374,7 +374,8 @@ def fingerprint_pairs(sets: DataFrame, radius: int, like: Likeness) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS, text_col: str = "text", similarity: float = SIMILARITY, radius: int = 4) -> DataFrame:
-    """``id, set_id, component_id`` for each row of ``docs``."""
+    """``id, th, set_id, component, component_id`` for each row of ``docs``: a hash of its text, its set, and its component
+    by the key of the component's first set and by its least id."""
     like = Likeness(similarity)
     docs = plain(docs.select(F.col(id_col), F.col(text_col).alias("text"))).withColumn("th", F.xxhash64("text"))
     marked = checkpoint(marked_sets(docs, id_col, words, like))
@@ -386,4 +387,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS,
     placed = members.join(roots, "set_id", "left").join(sets.select("set_id", "coarse"), "set_id").select("key", "set_id", "n", "coarse", F.coalesce("r", "set_id").alias("root"))
     second = checkpoint(verified(docs, sets, checkpoint(plausible(near_pairs(placed, False, like), sets, like)), words, like))
     named = named_by_least(sets.select("set_id", "least"), "set_id", first.unionByName(second))
-    return marked.select(id_col, "set_id").join(named, "set_id").select(id_col, "set_id", "component_id")
+    return marked.select(id_col, "th", "set_id").join(named, "set_id").select(id_col, "th", "set_id", "component", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with exactly one row of each group of near duplicates: one with the least id (null if all are), and of several
+    such rows that with the least hash of its text; of repeated rows one stays. Rows are told apart by id and text only."""
+    groups = checkpoint(near_duplicates(docs, id_col, words, text_col, similarity))
+    named = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("set_id") == F.col("component"))
+    heads = groups.where(named).select(F.col(id_col).alias("i"), F.col("th").alias("t"), "component")
+    several = checkpoint(heads.groupBy("component").agg(F.min("t").alias("chosen"), F.count("*").alias("n")).where("n > 1"))
+    others = groups.where(~named).select(F.col(id_col).alias("i"), F.col("th").alias("t"))
+    others = others.unionByName(heads.join(several, "component").where("t <> chosen").select("i", "t")).distinct()
+    rows = docs.withColumn("__th", F.xxhash64(F.col(f"`{text_col}`")))
+    same = F.col(id_col).eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t"))
+    left = rows.join(others, same, "left_anti")
+    repeated = checkpoint(heads.join(several, "component").where("t = chosen").groupBy("i", "t").count().where(F.col("count") > 1).select("i", "t"))
+    if repeated.isEmpty():
+        return left.drop("__th")
+    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([id_col, "__th"])).drop("__th")

@@ -8,8 +8,9 @@ a known feature have equal potentials, so a run of g words is one power of a 2 x
 marginals of its words by noisy-or and calibrates this by a logistic fitted to the sample; words with a marginal of 0.5
 or more make spans with character offsets.
 
-The fit uses a bounded sample: about ``PER_CLASS`` labelled documents of each label (chosen by hash, whole texts) and at
-most ``MAX_SEGMENTS`` segments of them. Scoring covers every row and whole texts.
+The fit uses a bounded sample: about ``PER_CLASS`` labelled documents of each label (chosen by hash, whole texts), at most
+``MAX_FEATURES`` features, the strongest, and ``MAX_SEGMENTS`` segments. The calibration weighs each label's documents by the
+share of them that was taken, so that a score doesn't shift once a label has more than ``PER_CLASS``. Scoring covers every row and whole texts.
 
 Edge cases: null and empty texts have no spans and the lowest score; labels that are null or of unknown documents are not
 used, repeated labels of a document count as toxic if one is; without rows of both labels every score is the share of
@@ -24,13 +25,14 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from lithoscope.llm.common import Memo, appended, bounded_sample, crc_mod, plain, read, received, sent, without
+from lithoscope.llm.common import Memo, appended, bounded_sample, checkpoint, crc_mod, plain, read, received, sent, small_batches, tidy, without
 
-PER_CLASS, MAX_SEGMENTS, HALF_SEGMENT, ROUNDS = 4_000, 6_000, 6, 80
+PER_CLASS, MAX_SEGMENTS, MAX_FEATURES, HALF_SEGMENT, ROUNDS = 4_000, 6_000, 100_000, 6, 80
 #: Least likelihood ratio and odds of a feature that counts as toxic, and documents that it must occur in.
 LEAST_RATIO, LEAST_ODDS, LEAST_DOCUMENTS = 18.0, 6.0, 3
 WORD = re.compile(r"\w+")
@@ -41,26 +43,35 @@ def features(word: str) -> list[str]:
     return ["=" + w, *(f"{n}<{w[:n]}" for n in range(3, min(6, len(w)) + 1)), *(f"{n}>{w[-n:]}" for n in (3, 4) if len(w) >= n)]
 
 
-def toxic_features(texts: list[str], toxic: list[int]) -> dict[str, int]:
-    """Features that mark toxic documents, numbered."""
-    n1 = sum(toxic)
-    n0 = len(toxic) - n1
+def toxic_features(sample: DataFrame) -> list[str]:
+    """Features that mark the toxic ones of ``sample(text, toxic)``, from counts of documents that tasks add up."""
+    size = sample.agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0")).first()
+    n1, n0 = size["n1"], size["n0"]
 
-    def of(text):
-        return {f for w in set(WORD.findall(text)) for f in features(w)}
-
-    in_toxic = Counter(f for t, y in zip(texts, toxic) if y for f in of(t))
-    candidates = {f for f, n in in_toxic.items() if n >= LEAST_DOCUMENTS}
-    in_clean = Counter(f for t, y in zip(texts, toxic) if not y for f in of(t) & candidates)
-    found = []
-    for f in sorted(candidates):
-        a, b = in_toxic[f], in_clean[f]
-        odds = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-        e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
-        ratio = 2 * (a * math.log(a / e1) + (b * math.log(b / e0) if b else 0))
-        if odds >= LEAST_ODDS and ratio >= LEAST_RATIO:
-            found.append(f)
-    return {f: i for i, f in enumerate(found)}
+    def count(batches):
+        tidy()
+        held = Memo(features, 200_000, 64)
+        found: tuple[Counter, Counter] = (Counter(), Counter())
+        for b in batches:
+            for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                found[y].update({f for w in set(WORD.findall(t)) for f in held[w]})
+                if len(found[0]) + len(found[1]) > 500_000:
+                    yield from tables(found)
+                    found = (Counter(), Counter())
+        yield from tables(found)
+
+    def tables(found):
+        for y in (0, 1):
+            n = np.array(list(found[y].values()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found[y]), pa.string()), pa.array(n * y), pa.array(n * (1 - y))], names=["f", "n1", "n0"])
+
+    rows = sample.select("text", "toxic").mapInArrow(count, "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    odds = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
+    e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
+    ratio = 2 * (a * F.log(a / e1) + F.when(b > 0, b * F.log(b / e0)).otherwise(0.0))
+    marking = rows.where((a >= LEAST_DOCUMENTS) & (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO))
+    return sorted(r["f"] for r in marking.orderBy(ratio.desc(), "f").limit(MAX_FEATURES).select("f").collect())
 
 
 class SpanModel:
@@ -75,42 +86,40 @@ class SpanModel:
         v = self.vocabulary
         return [v[f] for f in features(word) if f in v]
 
-    def fit(self, texts: list[str], toxic: list[int]) -> SpanModel:
-        segments = self._segments(texts, toxic)
-        if segments is None:
-            return self
-        self._descend(*segments)
-        x = np.array([self.evidence(*self.tag(t)) for t in texts])
-        y, c = np.array(toxic, float), np.zeros(x.shape[1])
-        ridge = np.full(len(c), 1e-2)
-        for _ in range(40):  # Newton steps, shortened where they are long
+    def calibrate(self, evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
+        """A logistic of the evidence by weighted Newton steps, shortened where they are long."""
+        x, y, w = evidence, toxic.astype(float), weight / weight.mean()
+        c, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-2)
+        for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-            h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
-            step = np.linalg.solve(h, x.T @ (p - y) + ridge * c)
+            h = (x * (w * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
+            step = np.linalg.solve(h, x.T @ (w * (p - y)) + ridge * c)
             c = c - step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
         self.calibration = c.tolist()
-        return self
-
-    def _segments(self, texts, toxic):
-        ids = Memo(self.known, 300_000)
-        size, out, plain_ones = 2 * HALF_SEGMENT + 1, [], []
-        for t, y in zip(texts, toxic):
-            row = [ids[w] for w in WORD.findall(t)]
-            hits = [i for i, f in enumerate(row) if f]
-            last = -size
-            for i in hits:
-                if i - last > HALF_SEGMENT:
-                    lo = max(0, i - HALF_SEGMENT)
-                    out.append((row[lo : lo + size], y))
-                    last = i
-            if not hits and row:
-                lo = (len(row) * 7919) % max(1, len(row) - size + 1)
-                plain_ones.append((row[lo : lo + size], y))
-        half = MAX_SEGMENTS // 2
-        thin = lambda xs: [xs[i * len(xs) // half] for i in range(half)] if len(xs) > half else xs
-        chosen = thin(out) + thin(plain_ones)
-        if not chosen:
-            return None
+
+    def segments_of(self, text: str) -> list[tuple[bool, list[list[int]]]]:
+        """Stretches around the words with known features, or one stretch of a text that has none, as features by word."""
+        row = list(map(self.ids.__getitem__, WORD.findall(text)))
+        size, out, last = 2 * HALF_SEGMENT + 1, [], -2 * HALF_SEGMENT
+        for i, f in enumerate(row):
+            if f and i - last > HALF_SEGMENT:
+                lo = max(0, i - HALF_SEGMENT)
+                out.append((True, row[lo : lo + size]))
+                last = i
+        if not out and row:
+            lo = (len(row) * 7919) % max(1, len(row) - size + 1)
+            out.append((False, row[lo : lo + size]))
+        return out
+
+    @property
+    def ids(self) -> Memo:
+        if not hasattr(self, "_ids"):
+            self._ids = Memo(self.known, 200_000, 64)
+        return self._ids
+
+    def tensors(self, chosen: list[tuple[list[list[int]], int]]):
+        """Features, labels and mask of segments and their documents' labels."""
+        size = 2 * HALF_SEGMENT + 1
         most = max([1, *(len(f) for s, _ in chosen for f in s)])
         f = np.full((len(chosen), size, most), len(self.vocabulary))
         y, mask = np.zeros((len(chosen), size)), np.zeros((len(chosen), size), bool)
@@ -239,15 +248,45 @@ class SpanModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> SpanModel:
-    """A model from ``labels`` of ``docs``. The bounded sample's ids are broadcast, its texts come to the driver."""
+    """A model from ``labels`` of ``docs``. The sampled ids are broadcast; their texts stay in tasks, which send counts,
+    at most ``MAX_SEGMENTS`` segments, and four numbers for each sampled document."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) >= 1).cast("int").alias("toxic"))
-    chosen = bounded_sample(known, [id_col], "toxic", per_class)
-    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).orderBy(id_col, "text").select("text", "toxic")
-    rows = rows.limit(4 * per_class).collect()
-    texts, toxic = [r["text"] for r in rows], [r["toxic"] for r in rows]
-    if len(set(toxic)) < 2:
-        return SpanModel({}, float(np.mean(toxic)) if toxic else 0.0)
-    return SpanModel(toxic_features(texts, toxic), float(np.mean(toxic))).fit(texts, toxic)
+    chosen = bounded_sample(known, [id_col], "toxic", per_class).select(id_col, "toxic", "rate")
+    texts = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
+    sample = checkpoint(small_batches(texts).join(F.broadcast(chosen), id_col).select("text", "toxic", "rate"))
+    seen = sample.groupBy("toxic").agg(F.sum(1 / F.col("rate")).alias("n")).collect()
+    share = sum(r["toxic"] * r["n"] for r in seen) / sum(r["n"] for r in seen) if seen else 0.0
+    if len(seen) < 2:
+        return SpanModel({}, share)
+    model = SpanModel({f: i for i, f in enumerate(toxic_features(sample))}, share)
+    begun = sent(sample, model)
+
+    def cut(batches):
+        own = received(begun)
+        for b in batches:
+            rows = [(hit, y, s) for t, y in zip(b["text"], b["toxic"]) for hit, s in own.segments_of(t)]
+            yield pd.DataFrame(rows, columns=["hit", "toxic", "words"])
+
+    kinds = sample.mapInPandas(cut, "hit boolean, toxic int, words array<array<int>>")
+    order = F.xxhash64("words", "toxic")
+    segments = [
+        (r["words"], r["toxic"])
+        for hit in (True, False) for r in kinds.where(F.col("hit") == hit).orderBy(order, "toxic").limit(MAX_SEGMENTS // 2).collect()
+    ]
+    if not segments:
+        return model
+    model._descend(*model.tensors(segments))
+    fitted = sent(sample, model)
+
+    def tagged(batches):
+        own = received(fitted)
+        for b in batches:
+            rows = [own.evidence(*own.tag(t)) for t in b["text"]]
+            yield pd.DataFrame({"x": rows, "toxic": b["toxic"], "weight": 1 / b["rate"]})
+
+    found = sample.mapInPandas(tagged, "x array<double>, toxic int, weight double").orderBy("weight", "toxic", "x").toPandas()
+    model.calibrate(np.array(found["x"].tolist()), found["toxic"].to_numpy(), found["weight"].to_numpy())
+    return model
 
 
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("marginal", DoubleType())]))

@@ -19,8 +19,8 @@ from lithoscope.llm.common import read
 
 #: Rules up to this number are sent to all executors; more are joined by shuffles.
 BROADCAST_RULES = 100_000
-#: Distinct path lengths that are expanded on the driver's word; rules with more lengths are refused.
-MAX_LENGTHS = 4_096
+#: Distinct path lengths up to which only those are expanded; beyond it, every prefix of a path is.
+FEW_LENGTHS = 4_096
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -36,15 +36,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def expressions(host: Column, path: Column, labels: int, lengths: list[int]) -> Column:
-    """Array of ``host suffix + path prefix`` strings with at most ``labels`` labels and with paths of ``lengths``."""
+def expressions(host: Column, path: Column, labels: int, lengths: list[int] | None) -> Column:
+    """Array of ``host suffix + path prefix`` strings with at most ``labels`` labels and with paths of ``lengths`` (or all)."""
     parts = F.split(host, r"\.", -1)
     suffixes = F.transform(
         F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))),
         lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."),
     )
     suffixes = F.filter(suffixes, lambda s: s != "")
-    own = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
+    own = F.filter(F.lit(lengths) if lengths is not None else F.sequence(F.lit(0), F.length(path)), lambda n: n <= F.length(path))
     prefixes = F.transform(own, lambda n: F.substring(path, F.lit(1), n))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))))
 
@@ -57,10 +57,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     """
     rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).select("host", "path", "verdict")
     size = rules.agg(
-        F.count("*").alias("n"), F.max(F.size(F.split("host", r"\.", -1))).alias("labels"), F.collect_set(F.length("path")).alias("lengths")
+        F.count("*").alias("n"), F.max(F.size(F.split("host", r"\.", -1))).alias("labels"), F.count_distinct(F.length("path")).alias("lengths")
     ).first()
-    if len(size["lengths"]) > MAX_LENGTHS:
-        raise ValueError(f"rules have more than {MAX_LENGTHS} distinct path lengths")
     judged = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).drop("url")
     empty = judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     if not size["n"]:
@@ -70,9 +68,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         F.sha2(expression, 256).alias("rule_digest"), expression.alias("rule"), F.length("host").alias("host_length"), "verdict"
     ).withColumn("rule_key", F.substring("rule_digest", 1, 8))
     broadcastable = size["n"] <= BROADCAST_RULES
+    lengths = sorted(r["n"] for r in rules.select(F.length("path").alias("n")).distinct().collect()) if size["lengths"] <= FEW_LENGTHS else None
     hits = (
-        judged.select("host", "path").distinct()
-        .withColumn("expression", F.explode(expressions(F.col("host"), F.col("path"), size["labels"], sorted(size["lengths"]))))
+        judged.where(F.col("host") != "").select("host", "path").distinct()
+        .withColumn("expression", F.explode(expressions(F.col("host"), F.col("path"), size["labels"], lengths)))
         .withColumn("digest", F.sha2("expression", 256)).drop("expression")
         .withColumn("key", F.substring("digest", 1, 8))
         .join(F.broadcast(keyed) if broadcastable else keyed, F.col("key") == F.col("rule_key"))
@@ -80,9 +79,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     )
     precedence = F.struct(F.length("rule"), "host_length", F.col("verdict") == "block")
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), precedence).alias("best"))
-    return judged.join(best, ["host", "path"], "left").select(
+    found = judged.where(F.col("host") != "").join(best, ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
+    return found.unionByName(empty.where(F.col("host") == ""))  # rows without a host share one key, and meet no rule
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
