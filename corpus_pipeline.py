@@ -32,10 +32,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, by similarity of five-word shingles."""
-    groups = simhash.near_duplicates(docs, words=5, similarity=0.8)
-    others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, by similarity of five-word shingles: the one with the smallest id."""
+    return simhash.one_of_each_group(docs, words=5, similarity=0.8).select(*docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
