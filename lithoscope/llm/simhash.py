@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = 4, wo
         return similar.near_duplicates(docs, id_col, words, text_col, similarity, radius)
     marked = checkpoint(with_fingerprint(docs.select(F.col(id_col), F.col(text_col).alias("text")), words, keep_text=False))
     distinct = checkpoint(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
-    named = named_by_least(distinct, "fp", links(distinct.select("fp"), radius))
+    named = checkpoint(named_by_least(distinct, "fp", links(distinct.select("fp"), radius)))  # so that the join's hot keys can be split
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 

@@ -386,7 +386,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS,
     roots = components(first).select(F.col("u").alias("set_id"), F.col("root").alias("r"))
     placed = members.join(roots, "set_id", "left").join(sets.select("set_id", "coarse"), "set_id").select("key", "set_id", "n", "coarse", F.coalesce("r", "set_id").alias("root"))
     second = checkpoint(verified(docs, sets, checkpoint(plausible(near_pairs(placed, False, like), sets, like)), words, like))
-    named = named_by_least(sets.select("set_id", "least"), "set_id", first.unionByName(second))
+    named = checkpoint(named_by_least(sets.select("set_id", "least"), "set_id", first.unionByName(second)))
     return marked.select(id_col, "th", "set_id").join(named, "set_id").select(id_col, "th", "set_id", "component", "component_id")
 
 

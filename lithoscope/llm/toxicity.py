@@ -284,8 +284,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = [own.evidence(*own.tag(t)) for t in b["text"]]
             yield pd.DataFrame({"x": rows, "toxic": b["toxic"], "weight": 1 / b["rate"]})
 
-    found = sample.mapInPandas(tagged, "x array<double>, toxic int, weight double").orderBy("weight", "toxic", "x").toPandas()
-    model.calibrate(np.array(found["x"].tolist()), found["toxic"].to_numpy(), found["weight"].to_numpy())
+    found = sample.mapInPandas(tagged, "x array<double>, toxic int, weight double").toPandas()
+    rows = np.column_stack([found["weight"], found["toxic"], np.array(found["x"].tolist())])
+    rows = rows[np.lexsort(rows.T)]  # sums don't depend on the order of tasks
+    model.calibrate(rows[:, 2:], rows[:, 1], rows[:, 0])
     return model
 
 
