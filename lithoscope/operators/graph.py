@@ -53,29 +53,46 @@ def transitions(events: DataFrame, key: str, order: list[str], value: str) -> Da
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lithoscope-"))
+    """Cut lineage through the session's shared folder; a temporary one will do for a local master only."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="lithoscope-"))
     return df.checkpoint()
 
 
+#: Frontiers that are kept apart before they are written as one table.
+FRONTIERS = 8
+
+
 def reachable(edges: DataFrame, start: DataFrame, most_steps: int | None = None) -> DataFrame:
     """``node, steps`` of all nodes that edges lead to from ``start(node)``, which has 0 steps. Cycles end by themselves.
 
-    A frontier meets the edges, what was seen before goes out by an anti join; each step ends in the shared folder.
+    A frontier meets the edges, what was seen before goes out by an anti join; each step ends in the shared folder. Only the new
+    frontier is written at a step; those before are written again every ``FRONTIERS`` steps.
     """
     edges = edges.select("src", "dst").distinct()
-    frontier = start.select("node").distinct()
-    seen, step = _checkpointed(frontier.withColumn("steps", F.lit(0))), 0
-    frontier = seen.select("node")
+    seen = [_checkpointed(start.select("node").distinct().withColumn("steps", F.lit(0)))]
+    step = 0
     while most_steps is None or step < most_steps:
         step += 1
-        following = edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        new = _checkpointed(following.join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(step)))
+        following = edges.join(seen[-1].where(F.col("steps") == step - 1).select("node"), F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
+        new = _checkpointed(following.join(_all(seen).select("node"), "node", "left_anti").withColumn("steps", F.lit(step)))
         if new.isEmpty():
             break
-        seen, frontier = _checkpointed(seen.unionByName(new)), new.select("node")
-    return seen
+        seen.append(new)
+        if len(seen) > FRONTIERS:
+            seen = [_checkpointed(_all(seen[:-1])), new]
+    return _all(seen)
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def is_reachable(edges: DataFrame, source: str, target: str) -> bool:

@@ -80,3 +80,9 @@ def dead_exports(extracted: DataFrame, edges: DataFrame, scope: str | None = Non
     direct = named.join(used.withColumnRenamed("used", "name"), ["file_path", "name"], "left_anti")
     by_default = used.where("used = 'default'").select("file_path", F.lit(True).alias("by_default"))
     return direct.join(by_default, ["file_path", "by_default"], "left_anti").select("name", "file_path")
+
+
+def re_exports(extracted: DataFrame) -> DataFrame:
+    """``path, source, names``: what a file exports again, by the module that it comes from."""
+    again = extracted.select("path", F.posexplode("exports").alias("at", "e")).where("e.is_re_export")
+    return again.groupBy("path", F.col("e.source").alias("source")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "e.name"))), lambda n: n["name"]).alias("names"))

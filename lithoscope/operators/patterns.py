@@ -174,3 +174,31 @@ def coverage(patterns: DataFrame, files: DataFrame) -> DataFrame:
     hit = patterns.select("file_path").distinct().join(files.select("file_path").distinct(), "file_path", "left_semi").withColumn("hit", F.lit(1))
     both = files.select("file_path").distinct().join(hit, "file_path", "left").agg(F.count("hit").alias("covered"), F.count("*").alias("files"))
     return both.withColumn("percent", F.when(F.col("files") > 0, F.floor(F.lit(100.0) * F.col("covered") / F.col("files") + F.lit(0.5))).otherwise(0).cast("long"))
+
+
+def by_category_counts(patterns: DataFrame) -> DataFrame:
+    """``category, n`` of the categories that occur."""
+    return patterns.groupBy("category").agg(F.count("*").alias("n"))
+
+
+def with_evidence(patterns: DataFrame, units: DataFrame) -> DataFrame:
+    """``patterns`` with ``locations``, ``evidence`` (what speaks for it, in words) and ``related_units``: of a strategy the classes that
+    implement it, of a factory the class that it makes, else none."""
+    unit = units.select("file_path", F.col("name").alias("unit_name"), "line", "kind", "members", "extends", "implements", "return_type", "constructor_params", "complexity")
+    classes = units.where(F.col("kind") == "class").select(F.explode("implements").alias("unit_name"), F.struct("file_path", "name").alias("c"))
+    implementers = classes.groupBy("unit_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("c.name")).alias("by"))
+    both = patterns.join(unit, ["file_path", "unit_name", "line"], "left").join(implementers, "unit_name", "left")
+    named = lambda names: F.array_join(F.transform(F.filter("members", lambda m: (m["kind"] == "method") & m["name"].isin(names)), lambda m: m["name"]), ", ")
+    says = F.array_compact(F.array(
+        F.when(F.col("pattern") == "singleton", F.lit("private constructor")),
+        F.when((F.col("pattern") == "singleton") & F.exists("members", lambda m: m["is_static"] & m["name"].isin("instance", "_instance")), F.lit("static instance")),
+        F.when((F.col("pattern") == "observer") & F.col("extends").isNotNull(), F.concat(F.lit("extends "), F.col("extends"))),
+        F.when(F.col("pattern") == "observer", F.concat(F.lit("methods "), named(OBSERVER_METHODS))),
+        F.when(F.col("pattern") == "repository", F.concat(F.lit("methods "), named(CRUD_METHODS))),
+        F.when(F.col("pattern").isin("dependency-injection", "adapter"), F.concat(F.lit("takes "), F.array_join(F.transform("constructor_params", lambda p: p["type"]), ", "))),
+        F.when(F.col("pattern") == "adapter", F.concat(F.lit("implements "), F.array_join("implements", ", "))),
+        F.when(F.col("pattern") == "strategy", F.concat(F.lit("implementations "), F.col("n").cast("string"))),
+        F.when(F.col("pattern") == "factory", F.concat(F.lit("makes "), unwrapped(F.col("return_type")))),
+    ))
+    related = F.when(F.col("pattern") == "strategy", F.col("by")).when(F.col("pattern") == "factory", F.array(unwrapped(F.col("return_type")))).otherwise(F.array().cast("array<string>"))
+    return both.select(*OUT, F.array(F.struct("file_path", "unit_name", "line")).alias("locations"), says.alias("evidence"), related.alias("related_units"))

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithoscope.functions.text import half_up, layer_of, normalised_space
-from lithoscope.operators import changes, graph, incremental, lookup, quality, similarity, stats
+from lithoscope.functions.text import layer_of, normalised_space
+from lithoscope.operators import changes, graph, incremental, lookup, outcome, patterns, quality, similarity, stats, symbols, trees, views
+from lithoscope.plans import project
+from lithoscope.sources import project as project_manifests
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -229,9 +231,8 @@ def layers(spark, sf_dir):
                  CAST(floor(100.0::DOUBLE * count(DISTINCT l.doc_id) / count(DISTINCT d.doc_id) + 0.5) AS BIGINT) AS percent
           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def coverage_percent(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id").distinct(), table(spark, sf_dir, "labels").select("doc_id").distinct()
-    both = docs.join(labels.withColumn("hit", F.lit(1)), "doc_id", "left").agg(F.count("hit").alias("covered"), F.count("*").alias("files"))
-    return both.withColumn("percent", half_up(F.lit(100.0) * F.col("covered") / F.col("files")))
+    docs, labels = (table(spark, sf_dir, t).select(F.col("doc_id").alias("file_path")) for t in ("documents", "labels"))
+    return patterns.coverage(labels, docs)
 
 
 @query("""WITH r AS (
@@ -251,9 +252,15 @@ def rule_confidence(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL HAVING count(*) >= 2")
 def strategy_having(spark, sf_dir):
-    many = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n")).where("n >= 2")
+    """Nations as interfaces, which their suppliers implement."""
+    none = F.lit(None).cast("string")
+    unit = lambda df, name, kind, line, own: df.select(none.alias("file_path"), name.cast("string").alias("name"), F.lit(kind).alias("kind"), line.cast("int").alias("line"), own.alias("implements"))
     nations = table(spark, sf_dir, "nation")
-    return nations.join(many, nations["n_nationkey"] == many["s_nationkey"]).select("n_nationkey", "n_name", "n")
+    units = unit(nations, F.col("n_nationkey"), "interface", F.col("n_nationkey"), F.array().cast("array<string>")).unionByName(
+        unit(table(spark, sf_dir, "supplier"), F.col("s_suppkey"), "class", F.lit(0), F.array(F.col("s_nationkey").cast("string"))))
+    found = patterns.strategy(units).select(F.col("line").alias("n_nationkey"))
+    counted = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    return nations.join(found, "n_nationkey").join(counted, "n_nationkey").select("n_nationkey", "n_name", "n")
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'made' ELSE 'kept' END AS state, n_chars FROM documents""")
@@ -296,17 +303,11 @@ def dead_code_anti(spark, sf_dir):
     return quality.dead_exports(exports, references).select(F.col("name").alias("o_orderkey"))
 
 
-@query("""SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1""")
-def json_project(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place
           FROM customer QUALIFY place <= 5""")
 def top_per_group(spark, sf_dir):
     """The five best of each group."""
-    order = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return table(spark, sf_dir, "customer").withColumn("place", F.row_number().over(order).cast("long")).where("place <= 5").select("c_custkey", "place")
+    return views.top(table(spark, sf_dir, "customer"), "c_nationkey", [F.desc("c_acctbal"), "c_custkey"]).select("c_custkey", "place")
 
 
 @query("""SELECT DISTINCT CASE WHEN split_part(path, '/', 1) = 'src' AND len(string_split(path, '/')) > 2 THEN split_part(path, '/', 2) ELSE split_part(path, '/', 1) END AS layer,
@@ -316,134 +317,99 @@ def layer_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang is not null and source is not null").groupBy(layer_of(path).alias("layer")).agg(F.count("*").alias("n"))
 
 
-def _sample(spark) -> DataFrame:
-    """Records of the library's own small project (the driver's tables hold no code)."""
-    from lithoscope.sources import extract, sample
-
-    return extract.extract_all(spark.createDataFrame(list(sample.FILES.items()), "path string, text string"))
-
-
-@query()
-def code_units(spark, sf_dir):
-    from lithoscope.sources import extract
-
-    return extract.units(_sample(spark)).select("file_path", "name", "kind", "line", "exported", "is_async", "return_type", "complexity", "body_line_count")
-
-
-@query()
-def code_imports(spark, sf_dir):
-    from lithoscope.sources import extract
-
-    return extract.imports(_sample(spark)).select("path", "source", F.array_join("specifiers", ",").alias("specifiers"), "is_external")
-
-
-@query()
-def code_exports(spark, sf_dir):
-    from lithoscope.sources import extract
-
-    return extract.exports(_sample(spark))
-
-
-@query()
-def code_dependencies(spark, sf_dir):
-    from lithoscope.operators import modules
-
-    found = _sample(spark)
-    return modules.modules(found, modules.dependency_edges(found, {"@/": "/p/lib"}))
-
-
-@query()
-def code_call_graph(spark, sf_dir):
-    from lithoscope.operators import modules
-
-    return modules.call_edges(_sample(spark))
-
-
-@query()
-def code_patterns(spark, sf_dir):
-    from lithoscope.operators import modules, patterns
-    from lithoscope.sources import extract
-
-    found = _sample(spark)
-    return patterns.detect(extract.units(found), modules.file_counts(found, modules.dependency_edges(found, {"@/": "/p/lib"})))
-
-
-@query()
-def cfg_blocks(spark, sf_dir):
-    """Control-flow blocks of the small project's functions."""
-    from lithoscope.sources import flow, sample
-
-    return flow.control_flow(spark.createDataFrame(list(sample.FILES.items()), "path string, text string"))
-
-
-def _project(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files, records and resolved imports of the small project."""
-    from lithoscope.operators import modules
-    from lithoscope.sources import extract, sample
-
-    files = spark.createDataFrame(list(sample.FILES.items()), "path string, text string")
-    found = extract.extract_all(files)
-    return files, found, modules.dependency_edges(found, {"@/": "/p/lib"})
-
-
-@query()
-def dfg_nodes(spark, sf_dir):
-    from lithoscope.sources import dataflow
-
-    files, _, edges = _project(spark)
-    return dataflow.nodes(dataflow.data_flow(files), edges)
+@query("""SELECT o_orderkey AS tree, md5(o_orderstatus || ':' || string_agg(md5(l_returnflag), ':' ORDER BY md5(l_returnflag))) AS hash
+          FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""")
+def subtree_hashes(spark, sf_dir):
+    """Orders as trees over their lines, whose order doesn't count."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    used = orders.join(lines.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
+    roots = used.select(F.col("o_orderkey").alias("tree"), F.lit(0).alias("id"), F.lit(None).cast("int").alias("parent"), F.lit(0).alias("place"), F.col("o_orderstatus").alias("type"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_extendedprice"))
+    own = lines.select(F.col("l_orderkey").alias("tree"), place.alias("id"), F.lit(0).alias("parent"), place.alias("place"), F.col("l_returnflag").alias("type"))
+    found = trees.subtree_hashes(roots.unionByName(own), ["O", "F", "P"])
+    return found.where("id = 0").select("tree", "hash")
+
+
+@query("""SELECT o_orderkey AS tree, l_linenumber AS id, CAST(row_number() OVER w AS BIGINT) AS visit, CAST(row_number() OVER w - 1 AS BIGINT) AS post_visit
+          FROM orders JOIN lineitem ON l_orderkey = o_orderkey WINDOW w AS (PARTITION BY o_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice)""")
+def tree_walk(spark, sf_dir):
+    """Places of an order's lines in a walk that takes the order first, and in one that takes it last."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_extendedprice"))
+    own = lines.select(F.col("l_orderkey").alias("tree"), F.col("l_linenumber").alias("id"), F.lit(0).alias("parent"), (place - 1).alias("place"))
+    return trees.children_first(own).select("tree", "id", "visit", "post_visit")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag <> 'R'),
+               more AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R')
+          SELECT src, dst FROM e WHERE src NOT IN (SELECT src FROM more) UNION SELECT src, dst FROM more""")
+def graph_insert(spark, sf_dir):
+    """A graph of suppliers and parts, with new entries for the suppliers of returned lines."""
+    lines = table(spark, sf_dir, "lineitem")
+    edges = lambda test: lines.where(test).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return symbols.add_entry(edges("l_returnflag <> 'R'").distinct(), edges("l_returnflag = 'R'"))
 
 
-@query()
-def dfg_edges(spark, sf_dir):
-    from lithoscope.sources import dataflow
+@query("""SELECT DISTINCT 'importer' AS role, l_suppkey AS node FROM lineitem WHERE l_partkey = 7
+          UNION ALL SELECT DISTINCT 'import', l_partkey FROM lineitem WHERE l_suppkey = 3""")
+def graph_lookups(spark, sf_dir):
+    edges = _supply(spark, sf_dir)
+    return symbols.importers_of(edges, 7).select(F.lit("importer").alias("role"), "node").unionByName(symbols.imports_of(edges, 3).select(F.lit("import").alias("role"), "node"))
 
-    return dataflow.flow_edges(dataflow.data_flow(_project(spark)[0]))
 
+@query("""SELECT o_orderkey AS op_id,
+                 CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'failed' WHEN count(*) FILTER (l_linestatus = 'O') = 0 THEN 'unchanged' ELSE 'apply' END AS status,
+                 CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 0 ELSE count(*) FILTER (l_linestatus = 'O') END AS n_files
+          FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def plan_outcomes(spark, sf_dir):
+    """Orders as planned change sets: a returned line is an error, an open one a change."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    plans = lines.select(F.col("l_orderkey").alias("op_id"), F.col("l_linenumber").cast("string").alias("path"), F.lit("F").alias("original"), F.col("l_linestatus").alias("modified"), F.when(F.col("l_returnflag") == "R", "returned").alias("error"))
+    return outcome.outcome(plans)
 
-@query()
-def code_references(spark, sf_dir):
-    """References to one exported function, with their contexts."""
-    from lithoscope.sources import names
 
-    files, _, edges = _project(spark)
-    return names.find_references(files, edges, "/p/src/make.ts", "createShape")
+@query("SELECT lang AS category, count(*) AS n FROM documents GROUP BY 1")
+def category_counts(spark, sf_dir):
+    return views.by_category(table(spark, sf_dir, "documents").select(F.col("lang").alias("category")))
 
 
-@query()
-def code_dead_exports(spark, sf_dir):
-    from lithoscope.operators import modules
+@query("""WITH f AS (SELECT doc_id, coalesce(source, '') AS source FROM documents), p AS (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IS NOT NULL)
+          SELECT split_part(source, '/', 1) AS layer, count(DISTINCT f.doc_id) AS n_files, coalesce(string_agg(DISTINCT CAST(quality AS VARCHAR), ',' ORDER BY CAST(quality AS VARCHAR)), '') AS patterns
+          FROM f LEFT JOIN p USING (doc_id) GROUP BY 1""")
+def layer_patterns(spark, sf_dir):
+    """Sources as layers, with the labels that occur in each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split_part(F.coalesce("source", F.lit("")), F.lit("/"), F.lit(1)).alias("layer"))
+    placed = docs.select(F.concat_ws("/", "layer", F.col("doc_id").cast("string")).alias("file_path"), "doc_id")
+    marks = placed.join(table(spark, sf_dir, "labels").where("quality is not null"), "doc_id").select("file_path", F.col("quality").cast("string").alias("pattern"))
+    return views.layer_patterns(placed, marks).select("layer", "n_files", F.array_join("patterns", ",").alias("patterns"))
 
-    _, found, edges = _project(spark)
-    return modules.dead_exports(found, edges)
 
+def _manifests(spark, sf_dir) -> DataFrame:
+    """Three manifests for each nation: a package, one of its workspaces, and compiler settings."""
+    key, name = F.col("n_nationkey"), F.lower("n_name")
+    root = F.concat(F.lit("/w/"), key.cast("string"))
+    framework = F.element_at(F.array(*map(F.lit, ["vue", "next", "react", "express"])), (key % 4 + 1).cast("int"))
+    package = F.to_json(F.struct(name.alias("name"), F.create_map(framework, F.lit("1")).alias("dependencies"), F.array(F.lit("packages/*")).alias("workspaces")))
+    inner = F.to_json(F.struct(F.create_map(F.lit("zod"), F.lit("3")).alias("dependencies")))
+    settings = F.when(key % 2 == 0, F.lit('{"compilerOptions": {"paths": {"@/*": ["./src/*"]}}}')).otherwise("// no JSON")
+    files = F.array(*[F.struct(F.concat(root, F.lit(p)).alias("path"), t.alias("text")) for p, t in (("/package.json", package), ("/packages/core/package.json", inner), ("/tsconfig.json", settings))])
+    return table(spark, sf_dir, "nation").select(F.explode(files).alias("f")).select("f.*")
 
-def _code_plan(operation: str, path: str, **args):
-    """A query that plans one rewrite of the small project."""
 
-    def run(spark, sf_dir):
-        from lithoscope.operators import rewrite
+@query("""SELECT '/w/' || n_nationkey AS root, lower(n_name) AS name, 'monorepo' || CASE n_nationkey % 4 WHEN 0 THEN ',vue' WHEN 1 THEN ',next' WHEN 2 THEN ',react' ELSE '' END AS types,
+                 CASE n_nationkey % 4 WHEN 0 THEN 'vue' WHEN 1 THEN 'next' WHEN 2 THEN 'react' END AS framework, n_nationkey % 2 = 0 AS has_typescript,
+                 CASE WHEN n_nationkey % 2 = 0 THEN '@/*' ELSE '' END AS aliases, 'packages/*' AS workspaces FROM nation
+          UNION ALL SELECT '/w/' || n_nationkey || '/packages/core', NULL, 'node', NULL, false, '', '' FROM nation""")
+def project_kinds(spark, sf_dir):
+    found = project_manifests.projects(_manifests(spark, sf_dir))
+    keys = F.coalesce(F.array_join(F.map_keys("aliases"), ","), F.lit("")).alias("aliases")
+    return found.select("root", "name", F.array_join("types", ",").alias("types"), "framework", "has_typescript", keys, F.array_join("workspaces", ",").alias("workspaces"))
 
-        files, _, edges = _project(spark)
-        return rewrite.accepted(rewrite.plan(files, operation, path, edges, **args))
 
-    run.__name__ = f"code_{operation}"
-    return query()(run)
+@query("""SELECT '/w/' || n_nationkey AS root, '/w/' || n_nationkey || '/packages/core' AS path, 'core' AS name, 'zod' AS dependencies FROM nation""")
+def workspace_packages(spark, sf_dir):
+    return project_manifests.workspace_packages(_manifests(spark, sf_dir)).select("root", "path", "name", F.array_join("dependencies", ",").alias("dependencies"))
 
 
-_MAKE, _SHAPES, _STORE, _APP = "/p/src/make.ts", "/p/src/shapes.ts", "/p/src/store.ts", "/p/src/app.tsx"
-_code_plan("rename", _MAKE, name="createShape", new="makeShape")
-_code_plan("move", _SHAPES, name="Square", to=_STORE)
-_code_plan("extract_interface", _SHAPES, class_name="Disc", interface_name="Round")
-_code_plan("inline_variable", _MAKE, name="log")
-_code_plan("change_signature", _MAKE, name="createShape", add=[("color", "string", "'red'")], remove=["size"])
-_code_plan("to_arrow", _APP, name="useShapes")
-_code_plan("to_async", _APP, name="useShapes")
-_code_plan("convert_type", _SHAPES, name="Shape")
-_code_plan("modify", _MAKE, name="createShape", is_async=True, add_params=[("color", "string", None)])
-_code_plan("encapsulate", _SHAPES, class_name="Square", field_name="name")
-_code_plan("composition", _STORE, class_name="ShapeStore")
-_code_plan("class_to_functions", _STORE, class_name="ShapeStore")
-_code_plan("cjs_to_esm", "/p/lib/util.js")
-_code_plan("default_to_named", _APP)
-_code_plan("safe_delete", "/p/lib/util.js", name="unused")
+QUERIES |= project.QUERIES
+ORACLE_SQL |= project.oracle_sql()

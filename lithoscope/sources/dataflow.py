@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithoscope.sources.names import import_declarations
 from lithoscope.sources.extract import NOT_CALLED, Source
 
 NODE = "id:int,name:string,type:string,line:int,source:string,expression:string"
@@ -50,7 +51,7 @@ class DataFlow:
                 pending[i + 1] = end
             elif i in pending:
                 self.declarator(i, pending.pop(i), pending)
-            elif s.name(i) and s.is_(i + 1, *PLAIN_ASSIGNMENTS) and not s.is_(i - 1, ".", "?.") and not self.defined_here(i):
+            elif s.name(i) and s.is_(i + 1, *PLAIN_ASSIGNMENTS) and not s.is_(i - 1, ".", "?.") and not self.defined_here(i) and not self.attribute(i):
                 stop = self.value_end(i + 2, end)
                 self.current[s.name(i)] = node = self.new(s.name(i), "assignment", i, s.span(i + 2, stop))
                 self.uses(i + 2, stop)
@@ -65,6 +66,11 @@ class DataFlow:
         """Whether the name at ``i`` is a default of a pattern or parameter rather than an assignment's target."""
         return self.s.is_(i + 1, "=") and (self.s.is_(i - 1, ",", "...") or self.s.is_(i - 1, "{", "[") and self.s.is_(i - 2, *DECLARE, "(", ","))
 
+    def attribute(self, i: int) -> bool:
+        """Whether the name at ``i`` is an attribute of a JSX tag: ``<tag name={...}`` or after another attribute's value."""
+        s = self.s
+        return s.is_(i + 1, "=") and s.is_(i + 2, "{") and (s.is_(i - 2, "<") or s.is_(i - 1, "}") and s.line(i - 1) == s.line(i))
+
     def declarator(self, i: int, end: int, pending: dict[int, int]) -> None:
         s = self.s
         k = s.after(i)
@@ -91,7 +97,7 @@ class DataFlow:
         s, found = self.s, []
         close = {c: o for o, c in s.pair.items() if a <= o < b}
         for i in range(a, b):
-            if s.is_(i, "(") and (s.name(i - 1) and s.name(i - 1) not in NOT_CALLED or s.is_(i - 1, ")", "]")) and i > a:
+            if s.is_(i, "(") and s.span(i, i + 1).startswith("(") and (s.name(i - 1) and s.name(i - 1) not in NOT_CALLED or s.is_(i - 1, ")", "]")) and i > a:
                 j = i - 1
                 while True:  # back over a chain of members, calls and indexes
                     j = close.get(j, j)
@@ -113,8 +119,6 @@ class DataFlow:
 
 def imported_names(s: Source) -> dict[str, str]:
     """Local names of imports with the specifier that each comes from."""
-    from lithoscope.sources.names import import_declarations
-
     return {local: d.source for d in import_declarations(s) for local in d.locals()}
 
 

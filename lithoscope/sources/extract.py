@@ -568,3 +568,31 @@ def light_units(extracted: DataFrame) -> DataFrame:
 def joined_path(directory: pd.Series, source: pd.Series) -> pd.Series:
     """A relative specifier against the folder of its importer, normalised."""
     return pd.Series([posixpath.normpath(posixpath.join(d, s)) for d, s in zip(directory, source)], directory.index, dtype=object)
+
+
+def required_at_top(text: str) -> list[str]:
+    """Modules whose ``require`` is the value of a variable declared at top level; requires elsewhere don't count."""
+    s, out, i = Source(text), [], 0
+    while i < s.n:
+        if s.is_(i, "=") and s.is_(i + 1, "require") and s.is_(i + 2, "(") and s.string(i + 3) is not None and s.is_(i + 4, ")") and (s.name(i - 1) or s.is_(i - 1, "}", "]")) and not s.is_(i - 2, "."):
+            if (source := s.string(i + 3)) not in out:
+                out.append(source)
+        i = s.after(i)
+    return out
+
+
+def shallow_requires(files: DataFrame) -> DataFrame:
+    """``path, source`` of ``files(path, text)`` by ``required_at_top``; a text that can't be read requires nothing here (its error
+    stands in ``extract_all``)."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["text"]):
+                try:
+                    rows += [(path, x) for x in required_at_top(text or "")]
+                except (IndexError, KeyError, RecursionError, ValueError):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "source"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, source string")

@@ -1,4 +1,9 @@
-"""A small project of this library's own, for the queries and tests that need source code."""
+"""A small project of this library's own, for the queries and tests that need source code, and copies of it by the thousand."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FILES = {
     "/p/src/shapes.ts": """export interface Shape { area(): number; name: string }
@@ -58,3 +63,11 @@ module.exports.write = () => {};
 function unused() { switch (fs.x) { case 1: return 1; default: return 2; } }
 """,
 }
+
+
+def project(ids: DataFrame) -> DataFrame:
+    """``path, text``: for each of ``ids(id)`` a copy of the project's sources under ``/p/<id>/src``; one ``/p/lib`` for all."""
+    own = F.array(*[F.struct(F.lit(p.removeprefix("/p")).alias("below"), F.lit(t).alias("text")) for p, t in FILES.items() if p.startswith("/p/src/")])
+    copies = ids.select("id", F.explode(own).alias("f")).select(F.concat(F.lit("/p/"), F.col("id").cast("string"), F.col("f.below")).alias("path"), F.col("f.text").alias("text"))
+    shared = ids.sparkSession.createDataFrame([(p, t) for p, t in FILES.items() if p.startswith("/p/lib/")], "path string, text string")
+    return copies.unionByName(shared)
