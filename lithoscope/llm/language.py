@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from lithoscope.llm.common import appended, bounded_sample, crc_mod, parts, plain, read, received, sent, small_batches, without
+from lithoscope.llm.common import appended, bounded_sample, checkpoint, crc_mod, parts, plain, read, received, sent, small_batches, without
 
 #: Components of a vector, letters in an n-gram, training documents of a language.
 DIMENSIONS, LETTERS, PER_CLASS = 1024, 3, 800
@@ -29,6 +29,10 @@ DIMENSIONS, LETTERS, PER_CLASS = 1024, 3, 800
 TABLE, LETTER_TABLE, SLICE, PART_CHARS = 40_000, 20_000, 4_096, 2_000_000
 
 
+#: Most sampled ids that go to all executors; with more languages than that, texts are shuffled to meet them.
+BROADCAST_IDS = 1_000_000
+
+
 class Space:
     """The hyperdimensional space: n-gram vectors, and sums of them over texts.
 
@@ -155,7 +159,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", per_class: int = PER_CLASS,
     d = space.dimensions
     small_batches(labelled)
     sample = bounded_sample(labelled.where(F.col("text").isNotNull()).select(id_col, "lang"), [id_col], "lang", per_class)
-    chosen = labelled.join(sample.select(id_col).distinct(), id_col, "left_semi").where(F.col("lang").isNotNull()).select("text", "lang")
+    ids = checkpoint(sample.select(id_col).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    chosen = labelled.join(ids, id_col, "left_semi").where(F.col("lang").isNotNull()).select("text", "lang")
 
     def bundle(batches):
         total: dict[str, np.ndarray] = {}

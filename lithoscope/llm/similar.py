@@ -12,7 +12,9 @@ themselves, and prefix filtering finds the pairs beyond the radius, so that the
   shingles go at once; whole sets are read again only for the few pairs left, and compared.
 - First each bucket's sets are compared with one of them, the pivot, and components are made of what this and the
   fingerprints give. Then a bucket's sets outside its commonest component are compared with all of other components. So
-  a large group of near copies costs comparisons with few of its members, and no pair is left out.
+  a large group of near copies costs comparisons with few of its members, and no pair is left out. A pair that shares many
+  keys is passed on from few buckets: each row bears the set's two keys before this one, and a pair that has one of them in
+  common is left to that bucket. The bucket of the first common key never leaves it to another.
 - A bucket of more than ``BLOCK`` sets is dealt to blocks; the sets to compare with go to each of its blocks.
 
 Edge cases: as in ``simhash``: wordless texts are one group, fewer words than a shingle are one shingle, A-Z are lower-cased,
@@ -27,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
@@ -39,8 +41,10 @@ from lithoscope.llm.components import components, named_by_least
 WORDS, SIMILARITY = 5, 0.8
 #: Documents of the sample, and the shingles of it that are held with their counts.
 SAMPLE, COMMON = 10_000, 200_000
-#: Bits of a set's coarse bitmap, and of the filter of candidates.
-COARSE_BITS, FILTER_BITS = 512, 1 << 24
+#: Bits of a set's coarse bitmap, those of a set of more than ``LONG`` shingles, and of the filter of candidates.
+COARSE_BITS, LONG_BITS, LONG, FILTER_BITS = 512, 2_048, 400, 1 << 24
+#: Most removed rows that go to all executors as a table of ids and hashes.
+BROADCAST_ROWS = 1_000_000
 #: Sets of a block of a bucket, and pairs that are looked at together.
 BLOCK, PAIRS = 4_096, 200_000
 
@@ -79,7 +83,7 @@ class Likeness:
 def parity(s: np.ndarray) -> bytes:
     """A bit for each slot: whether an odd number of the shingles fall in it. Each shingle that one of two sets lacks turns
     one bit. There are twice as many slots as shingles or more."""
-    bits = max(COARSE_BITS, 1 << (2 * len(s)).bit_length())
+    bits = max(LONG_BITS if len(s) > LONG else COARSE_BITS, 1 << (2 * len(s)).bit_length())
     slot = (s >> np.uint64(20)) & np.uint64(bits - 1)
     return np.packbits(np.bincount(slot.astype(np.int64), minlength=bits) & 1).tobytes()
 
@@ -91,8 +95,25 @@ def halved(bitmap: np.ndarray, size: int) -> np.ndarray:
     return bitmap
 
 
-def coarse(bitmap: bytes) -> bytes:
-    return halved(np.frombuffer(bitmap, np.uint8), COARSE_BITS // 8).tobytes()
+def coarse(bitmap: bytes, n: int) -> bytes:
+    """The bitmap of a set of n shingles that goes to its buckets: long sets need more bits to be told apart."""
+    return halved(np.frombuffer(bitmap, np.uint8), (LONG_BITS if n > LONG else COARSE_BITS) // 8).tobytes()
+
+
+def coarse_matrices(bitmaps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of coarse bitmaps: which are long, all at the size of the short ones, and the long ones whole (others zero)."""
+    long = np.array([len(x) for x in bitmaps]) > COARSE_BITS // 8
+    whole = np.zeros((len(bitmaps), LONG_BITS // 64), np.uint64)
+    short = np.zeros((len(bitmaps), COARSE_BITS // 64), np.uint64)
+    if long.any():
+        whole[long] = np.frombuffer(b"".join(x for x, y in zip(bitmaps, long) if y), np.uint64).reshape(-1, LONG_BITS // 64)
+        folded = whole[long]
+        while folded.shape[1] > short.shape[1]:
+            folded = folded[:, : folded.shape[1] // 2] ^ folded[:, folded.shape[1] // 2 :]
+        short[long] = folded
+    if not long.all():
+        short[~long] = np.frombuffer(b"".join(x for x, y in zip(bitmaps, long) if not y), np.uint64).reshape(-1, COARSE_BITS // 64)
+    return long, short, whole
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +173,7 @@ def marked_sets(docs: DataFrame, id_col: str, words: int, like: Likeness) -> Dat
                 own = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), own.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(simhash.folded(counts, shingles)),
-                     pa.array(bitmaps, pa.binary()), pa.array(list(map(coarse, bitmaps)), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))],
+                     pa.array(bitmaps, pa.binary()), pa.array(list(map(coarse, bitmaps, sizes)), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))],
                     names=[id_col, "th", "set_id", "n", "fp", "parity", "coarse", "keys"],
                 )
 
@@ -248,7 +269,7 @@ def plausible(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
 def near_pairs(members: DataFrame, stars: bool, like: Likeness) -> DataFrame:
     """Distinct pairs ``u, v`` of a bucket's sets of near sizes: with the bucket's pivot; or of other ``root``, of all that
     aren't in the bucket's commonest component with all, if their bitmaps let them be alike."""
-    payload = [] if stars else ["root", "coarse"]
+    payload = [] if stars else ["root", "coarse", "p1", "p2"]
     hot = checkpoint(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
     if hot.isEmpty():
         dealt = members.select(F.col("key").alias("bucket"), F.lit(2).cast("byte").alias("probe"), "key", "set_id", "n", *payload)
@@ -270,7 +291,7 @@ def near_pairs(members: DataFrame, stars: bool, like: Likeness) -> DataFrame:
         dealt = placed.select(bucket.alias("bucket"), F.col("p.probe").alias("probe"), "key", "set_id", "n", *payload)
 
     def found(rows):
-        key, probe, ids, n, root, *bitmaps = rows
+        key, probe, ids, n, root, *more = rows
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in _pair_blocks(key, probe, root, stars):
             for at in range(0, len(a), PAIRS):
@@ -278,8 +299,16 @@ def near_pairs(members: DataFrame, stars: bool, like: Likeness) -> DataFrame:
                 ok = (root[x] != root[y]) & (ids[x] != ids[y]) & like.near_size(n[x], n[y])
                 x, y = x[ok], y[ok]
                 ok = slice(None)
-                if bitmaps:
-                    differing = np.bitwise_count(bitmaps[0][x] ^ bitmaps[0][y]).sum(axis=1, dtype=np.int64)
+                if more:
+                    long, short, whole, this, *before = more
+                    met = np.zeros(len(x), bool)  # in the bucket of an earlier key that both have
+                    for p in before:
+                        for q in before:
+                            met |= (p[x] == q[y]) & (p[x] != this[x])
+                    x, y = x[~met], y[~met]
+                    differing = np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64)
+                    both = np.flatnonzero(long[x] & long[y])
+                    differing[both] = np.bitwise_count(whole[x[both]] ^ whole[y[both]]).sum(axis=1, dtype=np.int64)
                     ok = like.may_differ(differing, n[x], n[y])
                 us.append(np.minimum(ids[x[ok]], ids[y[ok]])), vs.append(np.maximum(ids[x[ok]], ids[y[ok]]))
         return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}).drop_duplicates()
@@ -294,7 +323,7 @@ def near_pairs(members: DataFrame, stars: bool, like: Likeness) -> DataFrame:
             # A block's bucket is a hash, so buckets are told apart by their key, too.
             key = (b["bucket"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b["key"].to_numpy().view(np.uint64)).view(np.int64)
             now = [key, b["probe"].to_numpy(), b["set_id"].to_numpy(), b["n"].to_numpy()]
-            now += [now[2]] if stars else [b["root"].to_numpy(), np.frombuffer(b"".join(b["coarse"]), np.uint64).reshape(len(b), -1)]
+            now += [now[2]] if stars else [b["root"].to_numpy(), *coarse_matrices(b["coarse"].tolist()), b["key"].to_numpy(), b["p1"].to_numpy(), b["p2"].to_numpy()]
             rows = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             other = np.flatnonzero(rows[0] != rows[0][-1])
             cut = int(other[-1]) + 1 if len(other) else 0
@@ -384,7 +413,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS,
     candidates = near_pairs(members, True, like).unionByName(fingerprint_pairs(sets, radius, like)).distinct()
     first = checkpoint(verified(docs, sets, checkpoint(plausible(candidates, sets, like)), words, like))
     roots = components(first).select(F.col("u").alias("set_id"), F.col("root").alias("r"))
-    placed = members.join(roots, "set_id", "left").join(sets.select("set_id", "coarse"), "set_id").select("key", "set_id", "n", "coarse", F.coalesce("r", "set_id").alias("root"))
+    earlier = lambda i: F.coalesce(F.lag("key", i).over(Window.partitionBy("set_id").orderBy("key")), F.col("key")).alias(f"p{i}")
+    placed = members.join(roots, "set_id", "left").join(sets.select("set_id", "coarse"), "set_id").select("key", "set_id", "n", "coarse", F.coalesce("r", "set_id").alias("root"), earlier(1), earlier(2))
     second = checkpoint(verified(docs, sets, checkpoint(plausible(near_pairs(placed, False, like), sets, like)), words, like))
     named = checkpoint(named_by_least(sets.select("set_id", "least"), "set_id", first.unionByName(second)))
     return marked.select(id_col, "th", "set_id").join(named, "set_id").select(id_col, "th", "set_id", "component", "component_id")
@@ -399,6 +429,9 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", words: int = WORD
     several = checkpoint(heads.groupBy("component").agg(F.min("t").alias("chosen"), F.count("*").alias("n")).where("n > 1"))
     others = groups.where(~named).select(F.col(id_col).alias("i"), F.col("th").alias("t"))
     others = others.unionByName(heads.join(several, "component").where("t <> chosen").select("i", "t")).distinct()
+    others = checkpoint(others)
+    if others.count() <= BROADCAST_ROWS:  # 16 bytes each; beyond it, texts are shuffled to meet them
+        others = F.broadcast(others)
     rows = docs.withColumn("__th", F.xxhash64(F.col(f"`{text_col}`")))
     same = F.col(id_col).eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t"))
     left = rows.join(others, same, "left_anti")
