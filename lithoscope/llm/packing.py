@@ -19,27 +19,86 @@ from __future__ import annotations
 import heapq
 import re
 from bisect import bisect_right, insort
-from itertools import compress
-from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoscope.llm.common import parts, read, received, sent, small_batches
+from lithoscope.llm.common import read, received, sent, small_batches
 
 TIERS = (4096, 2048, 1024, 512)
 #: ASCII punctuation, which no pre-token joins to letters before it.
-STOPS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words of small letters of ASCII and Latin-1, as UTF-8: letters to any tokenizer, and as the normaliser has them.
-SMALL_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+STOPS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of small letters of ASCII and Latin-1: letters to any tokenizer, and as the normaliser has them.
+SMALL_LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+#: Words and bytes that a cache holds before it is emptied of those not in use; words of texts that are put together at a time.
+CACHED, CACHED_BYTES, SLICE = 500_000, 64 << 20, 1 << 17
+#: Characters of the texts that are encoded at a time, if there are several.
+CHARS = 8_000_000
 #: Ids that a task holds before it packs them, and ids of a step group.
 BLOCK_TOKENS, STEP_TOKENS = 1_500_000, 16 * 4096
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 
 
+class Words:
+    """A cache of the ids of words: for each word its part of one array, or the mark ``OTHER`` and no part."""
+
+    #: The start of a word that can't be encoded apart from the punctuation after it.
+    OTHER = -1
+
+    def __init__(self, kind: np.dtype):
+        self.words, self.ids = pa.array([], pa.large_string()), np.empty(0, kind)
+        self.starts = self.lengths = np.empty(0, np.int64)
+
+    def append(self, words: list[str], ids: list[np.ndarray], lengths: np.ndarray) -> None:
+        """Add new words, with their ids one after the other and the number of ids of each."""
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.large_string())])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def mark(self, words: list[str]) -> None:
+        """Add new words as ``OTHER``."""
+        first = len(self.words)
+        self.append(words, [], np.zeros(len(words), np.int64))
+        self.starts[first:] = self.OTHER
+
+    def parts(self, words, learn, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of the words, an Arrow array of distinct ones, of which ``learn`` adds a list of new ones.
+
+        A cache of more than ``most`` words, or of more than ``CACHED_BYTES``, forgets all but these first.
+        """
+        at = pc.index_in(words, value_set=self.words)
+        if len(self.words) > most or self.words.nbytes > CACHED_BYTES:
+            kept = at.drop_null().to_numpy()
+            self.words, marked = self.words.take(pa.array(kept)), self.starts[kept] == self.OTHER
+            self.ids, ends = gathered(self.ids, self.starts[kept], self.lengths[kept])
+            self.starts, self.lengths = np.where(marked, self.OTHER, ends[:-1]), self.lengths[kept]
+            at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            learn(strings(words.filter(at.is_null())))
+            at = pc.index_in(words, value_set=self.words)
+        at = at.to_numpy()
+        return self.starts[at], self.lengths[at]
+
+
+def gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of ``ids`` that begin at ``starts``, one after the other, and the bounds between them."""
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+    places = np.repeat(starts - ends[:-1], lengths)
+    places += np.arange(len(places))
+    return ids[places], ends
+
+
+def strings(words) -> list[str]:
+    """The values of an Arrow array of strings."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordTokenizer:
     """A public tokenizer that treats the runs between ASCII white space, and a run of letters and what follows, separately.
 
@@ -47,6 +106,9 @@ class WordTokenizer:
     encoded apart from it, words are encoded in lower case (as the normaliser has them) and words of letters many at
     a time, where a token with the end-of-word mark ends each. ``alone`` is false for tokenizers of which this doesn't hold; their texts are encoded whole.
     So are texts that hold an added token as it is written: lower-casing must neither hide one nor make one of other words.
+
+    Texts are split, and the ids of their words put together, in Arrow and NumPy: only words that differ, without the
+    punctuation after them, are Python's strings.
     """
 
     def __init__(self, definition: str, alone: bool = True, mark: str = "</w>"):
@@ -57,103 +119,148 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             return cls(f.read(), alone)
 
-    def ready(self):
+    def ready(self, cached: int = CACHED):
         """``encode(texts) -> list of uint16 or uint32 ids as bytes`` and the type of the ids."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        usual_call = Tokenizer.from_str(self.definition)
-        added = [t.content for t in usual_call.get_added_tokens_decoder().values()]
         tokenizer = Tokenizer.from_str(self.definition)  # for words, of which none is an added token
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         tokenizer.encode_special_tokens = True
         usual = plain = tokenizer.normalizer, tokenizer.pre_tokenizer
+        letters: dict[int, str] = {}
         if '"ByteLevel"' in self.definition and self.alone:
-            # For small ASCII letters and single spaces between them, the normaliser and the patterns change nothing.
-            spaced = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-            plain = normalizers.Sequence([]), pre_tokenizers.Sequence(spaced)
+            # For small letters and single spaces between them, the normaliser and the patterns change nothing, and the
+            # bytes of a letter are written as the pre-tokenizer writes them, which leaves ASCII as it is.
+            plain = normalizers.Sequence([]), pre_tokenizers.CharDelimiterSplit(" ")
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(128, 256) if SMALL_LETTERS.fullmatch(chr(i))}
         vocabulary = tokenizer.get_vocab(True)
         size = max(vocabulary.values()) + 1
         kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         ends = np.zeros(size, bool)
         ends[[i for t, i in vocabulary.items() if t.endswith(self.mark)]] = True
-        cache: dict[bytes, bytes] = {}
+        cache, entire = Words(kind), Words(kind)
         small = SMALL_LETTERS.fullmatch
-
-        def whole(texts, by=tokenizer):
-            return [np.array(e.ids, kind).tobytes() for e in by.encode_batch_fast(texts, add_special_tokens=False)]
-
-        def learn_letters(words: list[bytes]) -> None:
+        usual_call: list[Tokenizer] = []
+
+        def whole(texts: list[str], by=tokenizer) -> list[np.ndarray]:
+            return [np.array(e.ids, kind) for e in by.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def as_the_library(texts: list[str]) -> list[bytes]:
+            if not usual_call:
+                usual_call.append(Tokenizer.from_str(self.definition))
+            return [ids.tobytes() for ids in whole(texts, usual_call[0])]
+
+        def learn_alone(words: list[str], known: Words) -> None:
+            """Put words, each encoded by itself, into a cache."""
+            if words:
+                ids = whole(words)
+                known.append(words, ids, np.array([len(i) for i in ids]))
+
+        def learn_letters(words: list[str], lowered: list[str], steps, written: dict[int, str]) -> None:
+            """Put words of letters, encoded as their small letters are, into the cache, many at a time."""
+            tokenizer.normalizer, tokenizer.pre_tokenizer = steps
+            done, ids, lengths, others = [], [], [], []
             for lo in range(0, len(words), 256):
                 part = words[lo : lo + 256]
-                ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, kind)
-                stops = (np.flatnonzero(ends[ids]) + 1).tolist()
-                if len(stops) == len(part) and stops[-1] == len(ids):
-                    data, width = ids.tobytes(), kind.itemsize
-                    cache.update((c, data[i * width : j * width]) for c, i, j in zip(part, [0, *stops], stops))
+                text = " ".join(lowered[lo : lo + 256])
+                if written and not text.isascii():
+                    text = text.translate(written)
+                found = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
+                stops = np.flatnonzero(ends[found]) + 1
+                if len(stops) == len(part) and stops[-1] == len(found):
+                    done += part
+                    ids.append(found)
+                    lengths.append(np.diff(stops, prepend=0))
                 else:  # a word that isn't one run of letters to the tokenizer
-                    cache.update(zip(part, whole([c.decode() for c in part])))
-
-        def learn(words: list[bytes]) -> None:
-            """Put the words, which the cache lacks, into it."""
-            ends_in_letters = [w for w in words if w.isalpha()]  # of bytes: ASCII letters only
-            new, others = set(ends_in_letters), []
-            again: list[tuple[list[bytes], list[bytes]]] = []
-            if len(ends_in_letters) < len(words):
-                rest = [w for w in words if not w.isalpha()]
-                cores = [w.rstrip(STOPS) for w in rest]
-                easy = [c.isalpha() or small(c) is not None for c in cores]
-                own = list(compress(rest, easy))
-                again.append((own, list(compress(cores, easy))))
-                new.update(again[0][1])
-                hard, hard_lower = [], []
-                for w, core, known in zip(rest, cores, easy):
-                    if known:
+                    others += part
+            tokenizer.normalizer, tokenizer.pre_tokenizer = usual
+            if done:
+                cache.append(done, ids, np.concatenate(lengths))
+            learn_alone(others, cache)
+
+        def learn(words: list[str]) -> None:
+            """Put words without the punctuation after them, and such punctuation, into the cache."""
+            of_letters = [w for w in words if w.isalpha()]
+            others = [w for w in words if not w.isalpha()]
+            learn_alone([w for w in others if not w or w[-1] in STOPS], cache)
+            others = [w for w in others if w and w[-1] not in STOPS]
+            easy = [w for w in of_letters if w.isascii()]
+            easy_lower, hard, hard_lower = easy.copy(), [], []
+            if len(easy) < len(of_letters):
+                for w in of_letters:
+                    if w.isascii():
                         continue
-                    s = core.decode()
-                    low = s.lower()
-                    if not (s.isalpha() and low.isalpha()):  # a capital letter may become a small one and a mark
-                        others.append(w)
+                    if small(w):
+                        easy.append(w)
+                        easy_lower.append(w)
                         continue
-                    hard.append(w)
-                    # A capital sigma's small form depends on its place.
-                    hard_lower.append(low.encode() if len(s) == len(low) and "\u03a3" not in s else core)
-                again.append((hard, hard_lower))
-                new.update(hard_lower)
-            new = new.difference(cache)  # looks up the new ones, where an update would walk through the cache
-            ascii_only = [w for w in new if w.isascii()]
-            for part_of, steps in ((ascii_only, plain), ([w for w in new if not w.isascii()], usual)):
-                tokenizer.normalizer, tokenizer.pre_tokenizer = steps
-                learn_letters(part_of)
-            tokenizer.normalizer, tokenizer.pre_tokenizer = usual
-            for own, lowered in again:
-                after = [w[len(w.rstrip(STOPS)) :] for w in own]
-                tails = list(set(after).difference(cache))
-                cache.update(zip(tails, whole([t.decode() for t in tails])))
-                cache.update(zip(own, map(add, map(cache.__getitem__, lowered), map(cache.__getitem__, after))))
-            cache.update(zip(others, whole([w.decode() for w in others])))
+                    low = w.lower()
+                    if not low.isalpha():  # a capital letter may become a small one and a mark
+                        others.append(w)
+                    elif len(w) != len(low) or "\u03a3" in w:  # a capital sigma's small form depends on its place
+                        hard.append(w)
+                        hard_lower.append(w)
+                    elif small(low):
+                        easy.append(w)
+                        easy_lower.append(low)
+                    else:
+                        hard.append(w)
+                        hard_lower.append(low)
+            learn_letters(easy, easy_lower, plain, letters)
+            learn_letters(hard, hard_lower, usual, {})
+            cache.mark(others)
+
+        def distinct_words(words) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of the words, an Arrow array of large strings, one after the other, and the bounds between them."""
+            n = len(words)
+            _, bounds, data = words.buffers()
+            at = np.frombuffer(bounds, np.int64)[words.offset : words.offset + n + 1]
+            both = np.empty(2 * n + 1, np.int64)  # bounds of words without, and of the punctuation after them, in turn
+            both[::2] = at
+            both[1::2] = at[:-1] + pc.binary_length(pc.ascii_rtrim(words, characters=STOPS)).to_numpy()
+            parted = pa.LargeStringArray.from_buffers(2 * n, pa.py_buffer(both), data).dictionary_encode()
+            starts, lengths = (x[parted.indices.to_numpy()] for x in cache.parts(parted.dictionary, learn, cached))
+            odd = np.flatnonzero(starts[::2] == Words.OTHER)
+            lengths[2 * odd + 1] = 0
+            ids = cache.ids
+            if len(odd):
+                own = entire.parts(words.take(pa.array(odd)), lambda new: learn_alone(new, entire), cached)
+                starts[2 * odd], lengths[2 * odd] = len(ids) + own[0], own[1]
+                ids = np.concatenate([ids, entire.ids])
+            ids, ends = gathered(ids, starts, lengths)
+            return ids, ends[::2]
 
         def encode(texts: list[str]) -> list[bytes]:
             if not self.alone:
-                return whole(texts, usual_call)
+                return as_the_library(texts)
             special = [i for i, t in enumerate(texts) if any(a in t for a in added)]
             if special:
                 out, rest = [b""] * len(texts), sorted(set(range(len(texts))).difference(special))
                 for i in special:
-                    out[i] = whole([texts[i]], usual_call)[0]
+                    out[i] = as_the_library([texts[i]])[0]
                 for i, ids in zip(rest, encode([texts[i] for i in rest]) if rest else ()):
                     out[i] = ids
                 return out
-            # bytes.split() splits at ASCII white space only, which str.split() doesn't; bytes.lower() knows A-Z only.
-            split = [t.encode().lower().split() for t in texts]
-            words = set().union(*split)
-            if len(cache) > 500_000:
-                known = [(w, cache[w]) for w in words.intersection(cache)]
-                cache.clear()
-                cache.update(known)
-            learn(list(words.difference(cache)))
-            return [b"".join(map(cache.__getitem__, ws)) for ws in split]
+            # These know A-Z and ASCII white space only, which str.lower() and str.split() don't.
+            split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+            words = split.flatten().dictionary_encode()
+            if not len(words):
+                return [b""] * len(texts)
+            ids, ends = distinct_words(words.dictionary)
+            starts, lengths, codes = ends[:-1], np.diff(ends), words.indices.to_numpy()
+            data, at = [], [np.zeros(1, np.int64)]
+            for lo in range(0, len(codes), SLICE):
+                part = codes[lo : lo + SLICE]
+                found, bounds = gathered(ids, starts[part], lengths[part])
+                data.append(found.tobytes())
+                at.append(bounds[1:] + at[-1][-1])
+            joined = data[0] if len(data) == 1 else b"".join(data)
+            cuts = (np.concatenate(at)[split.offsets.to_numpy()] * kind.itemsize).tolist()
+            return [joined[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
 
         return encode, kind
 
@@ -251,6 +358,22 @@ def sum_upto(left: list[tuple[int, int, int]], most: int) -> int:
     return total
 
 
+def together(batches, chars: int = CHARS):
+    """Ids and texts (null: empty) of the batches' rows, in lists of as many rows as have about so many characters."""
+    doc_ids, texts, held = [], [], 0
+    for b in batches:
+        for doc_id, text in zip(b["doc_id"], b["text"]):
+            text = text if text is not None else ""
+            if held and held + len(text) > chars:
+                yield doc_ids, texts
+                doc_ids, texts, held = [], [], 0
+            doc_ids.append(doc_id)
+            texts.append(text)
+            held += len(text) + 100  # for the row
+    if texts:
+        yield doc_ids, texts
+
+
 def pack_documents(docs: DataFrame, tokenizer: WordTokenizer, end_id: int, id_col: str = "doc_id", text_col: str = "text", tiers=TIERS) -> DataFrame:
     """One row for each piece of a document, with its ids and its place; see ``PIECES``."""
     held = sent(small_batches(docs), tokenizer)
@@ -265,14 +388,12 @@ def pack_documents(docs: DataFrame, tokenizer: WordTokenizer, end_id: int, id_co
             f = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_id"])
             return f.astype({"doc_id": "Int64"})
 
-        for b in batches:
-            texts = [t if t is not None else "" for t in b["text"]]
-            for lo, hi in parts(texts):
-                for doc_id, ids in zip(b["doc_id"][lo:hi], encode(texts[lo:hi])):
-                    packer.add(doc_id, np.concatenate([np.frombuffer(ids, kind), end]))
-                    if packer.held >= BLOCK_TOKENS:
-                        yield frame(packer.pack(False))
-                        packer.begin()
+        for doc_ids, texts in together(batches):
+            for doc_id, ids in zip(doc_ids, encode(texts)):
+                packer.add(doc_id, np.concatenate([np.frombuffer(ids, kind), end]))
+                if packer.held >= BLOCK_TOKENS:
+                    yield frame(packer.pack(False))
+                    packer.begin()
         yield frame(packer.pack(True))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, PIECES)
