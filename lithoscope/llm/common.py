@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,6 +168,7 @@ def received(broadcast):
 def tidy() -> None:
     """Give back what earlier tasks of this Python worker left: workers are reused, and their caches hold cycles."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library

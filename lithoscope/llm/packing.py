@@ -38,7 +38,7 @@ SMALL_LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 #: Words and bytes that a cache holds before it is emptied of those not in use; words of texts that are put together at a time.
 CACHED, CACHED_BYTES, SLICE = 500_000, 64 << 20, 1 << 17
 #: Characters of the texts that are encoded at a time, if there are several.
-CHARS = 8_000_000
+CHARS = 4_000_000
 #: Ids that a task holds before it packs them, and ids of a step group.
 BLOCK_TOKENS, STEP_TOKENS = 1_500_000, 16 * 4096
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
