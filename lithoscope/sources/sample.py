@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tasks that copies are made and read in, whatever the number of cores that are known when a query is planned.
+LEAST_TASKS = 32
 FILES = {
     "/p/src/shapes.ts": """export interface Shape { area(): number; name: string }
 export class Square implements Shape {
@@ -66,8 +68,14 @@ function unused() { switch (fs.x) { case 1: return 1; default: return 2; } }
 
 
 def project(ids: DataFrame) -> DataFrame:
-    """``path, text``: for each of ``ids(id)`` a copy of the project's sources under ``/p/<id>/src``; one ``/p/lib`` for all."""
+    """``path, text``: for each of ``ids(id)`` a copy of the project's sources under ``/p/<id>/src``; one ``/p/lib`` for all.
+
+    Ids are small and the reading of their copies is not, so that partitions by size would put all of it into one task: ids
+    are dealt to a number of partitions that Spark doesn't join. An id that is there twice has one copy.
+    """
+    spark = ids.sparkSession
+    ids = ids.select("id").repartition(max(LEAST_TASKS, 3 * spark.sparkContext.defaultParallelism), "id").distinct()
     own = F.array(*[F.struct(F.lit(p.removeprefix("/p")).alias("below"), F.lit(t).alias("text")) for p, t in FILES.items() if p.startswith("/p/src/")])
     copies = ids.select("id", F.explode(own).alias("f")).select(F.concat(F.lit("/p/"), F.col("id").cast("string"), F.col("f.below")).alias("path"), F.col("f.text").alias("text"))
-    shared = ids.sparkSession.createDataFrame([(p, t) for p, t in FILES.items() if p.startswith("/p/lib/")], "path string, text string")
+    shared = spark.createDataFrame([(p, t) for p, t in FILES.items() if p.startswith("/p/lib/")], "path string, text string")
     return copies.unionByName(shared)
