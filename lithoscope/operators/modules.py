@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithoscope.operators import graph
 from lithoscope.sources import extract
 from lithoscope.sources.files import EXTENSIONS
 
+EXTENSION = "(" + "|".join(map(re.escape, EXTENSIONS)) + r")\z"
+
+
+def _stem(path: Column) -> Column:
+    return F.regexp_replace(path, r"\.[cm]?jsx?$", "")
+
+
+def _by_stem(paths: DataFrame) -> DataFrame:
+    """``key, paths``: what may be meant by an import whose path has the stem ``key``, at most a few files for each."""
+    path = F.col("path")
+    bare, folder = (F.when(path.rlike(x), F.regexp_replace(path, x, "")) for x in (EXTENSION, f"/index{EXTENSION}"))
+    keys = F.array_compact(F.array(_stem(path), bare, _stem(bare), _stem(folder)))
+    return paths.select("path", F.explode(F.array_distinct(keys)).alias("key")).groupBy("key").agg(F.collect_set("path").alias("paths"))
+
 
-def dependency_edges(extracted: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+def dependency_edges(extracted: DataFrame, aliases: dict[str, str] | None = None, files: DataFrame | None = None) -> DataFrame:
     """``src, source, specifiers, dst``: imports with the file that they resolve to, null for what is external.
 
     ``aliases`` maps prefixes of specifiers to folders. A relative import that resolves to no file counts as external too.
+    ``files(path)`` are the same files as ``extracted``'s, if they can be listed without reading them again. An import meets the
+    few files of its stem, and the first of its candidates among them counts.
     """
     used = extract.imports(extracted).select(F.col("path").alias("src"), "source", "specifiers")
     folder = F.regexp_extract("src", r"^(.*/)?", 0)
@@ -23,10 +41,12 @@ def dependency_edges(extracted: DataFrame, aliases: dict[str, str] | None = None
         spelled = F.when(hit, F.concat(F.lit("./"), F.substr("source", F.lit(len(prefix) + 1)))).otherwise(spelled)
         root = F.when(hit, F.lit(target)).otherwise(root)
     placed = used.withColumn("base", F.when(spelled.startswith("."), extract.joined_path(root, spelled)))
-    stem = F.regexp_replace("base", r"\.[cm]?jsx?$", "")
+    # what has no base gets keys of its own, of which no file has one and which don't meet in one task
+    placed = placed.withColumn("key", F.coalesce(_stem(F.col("base")), F.concat(F.lit("\0"), "src")))
+    stem = _stem(F.col("base"))
     every = [F.col("base"), *[F.concat("base", F.lit(e)) for e in EXTENSIONS], *[F.concat(stem, F.lit(e)) for e in EXTENSIONS], *[F.concat("base", F.lit(f"/index{e}")) for e in EXTENSIONS]]
-    found = graph.resolve_first(placed.select("src", "source", "base").distinct(), F.array(*every), ["src", "source"], extracted.select("path"))
-    return placed.drop("base").join(found.select("src", "source", F.col("resolved").alias("dst")), ["src", "source"], "left")
+    first = F.get(F.filter(F.array(*every), lambda c: F.array_contains("paths", c)), F.lit(0))
+    return placed.join(_by_stem((extracted if files is None else files).select("path")), "key", "left").select("src", "source", "specifiers", first.alias("dst"))
 
 
 def modules(extracted: DataFrame, edges: DataFrame) -> DataFrame:

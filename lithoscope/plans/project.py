@@ -28,14 +28,13 @@ def query(golden: bool = True):
 
 
 def project_files(spark, sf_dir) -> DataFrame:
-    return sample.project(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id")).distinct())
+    return sample.project(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id")))
 
 
-def project(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files, records and resolved imports."""
+def project(spark, sf_dir, *columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, records (with the arrays named, or all) and resolved imports."""
     files = project_files(spark, sf_dir)
-    found = extract.extract_all(files)
-    return files, found, modules.dependency_edges(found, ALIASES)
+    return files, extract.extract_all(files, list(columns) or None), modules.dependency_edges(extract.extract_all(files, ["imports"]), ALIASES, files)
 
 
 def _listed(column: str):
@@ -44,28 +43,28 @@ def _listed(column: str):
 
 @query()
 def code_units(spark, sf_dir):
-    return extract.units(project(spark, sf_dir)[1]).select("file_path", "name", "kind", "line", "exported", "is_async", "return_type", "complexity", "body_line_count")
+    return extract.units(project(spark, sf_dir, "units")[1]).select("file_path", "name", "kind", "line", "exported", "is_async", "return_type", "complexity", "body_line_count")
 
 
 @query()
 def code_imports(spark, sf_dir):
-    return extract.imports(project(spark, sf_dir)[1]).select("path", "source", _listed("specifiers"), "is_external")
+    return extract.imports(project(spark, sf_dir, "imports")[1]).select("path", "source", _listed("specifiers"), "is_external")
 
 
 @query()
 def code_exports(spark, sf_dir):
-    return extract.exports(project(spark, sf_dir)[1])
+    return extract.exports(project(spark, sf_dir, "exports")[1])
 
 
 @query()
 def code_light_units(spark, sf_dir):
-    return extract.light_units(project(spark, sf_dir)[1])
+    return extract.light_units(project(spark, sf_dir, "exports", "top_level")[1])
 
 
 @query()
 def code_members(spark, sf_dir):
     """Members of classes and interfaces."""
-    return extract.units(project(spark, sf_dir)[1]).select("file_path", "name", F.explode("members").alias("m")).select(
+    return extract.units(project(spark, sf_dir, "units")[1]).select("file_path", "name", F.explode("members").alias("m")).select(
         "file_path", "name", F.col("m.name").alias("member"), "m.kind", "m.type", "m.is_async", "m.param_count", "m.visibility", "m.is_static")
 
 
@@ -76,37 +75,37 @@ def code_resolved_imports(spark, sf_dir):
 
 @query()
 def code_dependencies(spark, sf_dir):
-    _, found, edges = project(spark, sf_dir)
-    return modules.modules(found, edges).where("path <> '/p/lib/util.js'")
+    files, _, edges = project(spark, sf_dir)
+    return modules.modules(files, edges).where("path <> '/p/lib/util.js'")
 
 
 @query()
 def code_call_graph(spark, sf_dir):
-    return modules.call_edges(project(spark, sf_dir)[1])
+    return modules.call_edges(project(spark, sf_dir, "units", "calls")[1])
 
 
 @query()
 def code_call_nodes(spark, sf_dir):
     """Functions of the call graph with what they call."""
-    return callgraph.nodes(project(spark, sf_dir)[1]).select("file_path", "name", "line", "exported", "is_test", _listed("calls"))
+    return callgraph.nodes(project(spark, sf_dir, "units", "calls")[1]).select("file_path", "name", "line", "exported", "is_test", _listed("calls"))
 
 
 @query()
 def code_called_by(spark, sf_dir):
     """Callers of each function; a name that many files define means the first of them."""
-    return callgraph.called_by(project(spark, sf_dir)[1]).select("by_file", "by_name", "file_path", "name")
+    return callgraph.called_by(project(spark, sf_dir, "units", "calls")[1]).select("by_file", "by_name", "file_path", "name")
 
 
 @query()
 def code_patterns(spark, sf_dir):
-    _, found, edges = project(spark, sf_dir)
+    _, found, edges = project(spark, sf_dir, "units", "exports")
     return patterns.detect(extract.units(found), modules.file_counts(found, edges)).select("file_path", "pattern", "category", "unit_name", "line", "confidence")
 
 
 @query()
 def code_pattern_evidence(spark, sf_dir):
     """Patterns with the units that they rest on and what speaks for them."""
-    _, found, edges = project(spark, sf_dir)
+    _, found, edges = project(spark, sf_dir, "units", "exports")
     units = extract.units(found)
     return patterns.with_evidence(patterns.detect(units, modules.file_counts(found, edges)), units).where("category <> 'framework'").select(
         "file_path", "pattern", "unit_name", F.array_join("evidence", "; ").alias("evidence"), F.array_join("related_units", ",").alias("related_units"))
@@ -114,20 +113,20 @@ def code_pattern_evidence(spark, sf_dir):
 
 @query()
 def code_strategy(spark, sf_dir):
-    return patterns.strategy(extract.units(project(spark, sf_dir)[1])).select("file_path", "unit_name", "line", "confidence")
+    return patterns.strategy(extract.units(project(spark, sf_dir, "units")[1])).select("file_path", "unit_name", "line", "confidence")
 
 
 @query()
 def code_structural_patterns(spark, sf_dir):
     """The patterns of one category."""
-    _, found, edges = project(spark, sf_dir)
+    _, found, edges = project(spark, sf_dir, "units", "exports")
     return views.of_category(patterns.detect(extract.units(found), modules.file_counts(found, edges)), "structural").select("file_path", "pattern", "unit_name", "confidence")
 
 
 @query()
 def code_file_exports(spark, sf_dir):
     """One file's exports, with the path below the root."""
-    _, found, _ = project(spark, sf_dir)
+    _, found, _ = project(spark, sf_dir, "exports")
     return views.below(views.of_file(extract.exports(found), "/p/0/src/index.ts"), "/p").select("path", "name", "source")
 
 
@@ -141,20 +140,20 @@ def code_file_graph(spark, sf_dir):
 @query()
 def code_re_exports(spark, sf_dir):
     """Names exported again, by the module that they come from."""
-    return modules.re_exports(project(spark, sf_dir)[1]).select("path", "source", _listed("names"))
+    return modules.re_exports(project(spark, sf_dir, "exports")[1]).select("path", "source", _listed("names"))
 
 
 @query()
 def code_search(spark, sf_dir):
     """Units found by signature, which wins over the other conditions if both are given."""
-    units = extract.units(project(spark, sf_dir)[1])
+    units = extract.units(project(spark, sf_dir, "units")[1])
     return views.discover_search(units, params=["string", "number"], kind="class").select("file_path", "name", "kind", "line")
 
 
 @query()
 def code_symbols(spark, sf_dir):
     """Definitions and references of a name by file."""
-    index = symbols.index(project(spark, sf_dir)[1])
+    index = symbols.index(project(spark, sf_dir, "imports", "top_level")[1])
     return symbols.definitions_of(index, "createShape").select("file_path", F.lit("definition").alias("role")).unionByName(
         symbols.references_of(index, "createShape").select("file_path", F.lit("reference").alias("role")))
 
@@ -199,7 +198,7 @@ def code_contexts(spark, sf_dir):
 
 @query()
 def code_dead_exports(spark, sf_dir):
-    _, found, edges = project(spark, sf_dir)
+    _, found, edges = project(spark, sf_dir, "exports")
     return modules.dead_exports(found, edges).select("file_path", "name")
 
 

@@ -1,11 +1,20 @@
 """What keeps queries over source code in proportion to their input: many tasks, each text read once in a batch, few passes."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from lithoscope.operators import graph, modules
 from lithoscope.plans import project
+from lithoscope.plans.registry import QUERIES
 from lithoscope.sources import extract, sample
 from lithoscope.sources.batches import rows_by_text
+from lithoscope.sources.files import EXTENSIONS
+
+
+def passes(frame) -> int:
+    """How often a plan reads source texts."""
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
 
 
 def test_copies_are_read_in_many_tasks(spark):
@@ -40,3 +49,26 @@ def test_records_are_those_of_each_file(spark):
     assert len(found) == len(files)
     for r in found:
         assert {k: v for k, v in r.asDict(True).items()} == expected[r["path"]]
+
+
+@pytest.mark.parametrize("name, most", [("code_resolved_imports", 1), ("code_dependencies", 2), ("code_references", 1)])
+def test_imports_are_resolved_in_one_pass(spark, name, most):
+    assert passes(QUERIES[name](spark, SMALL)) <= most
+
+
+def test_imports_meet_every_candidate_in_order(spark):
+    files = ["/s/a.ts", "/s/a.js", "/s/b.js", "/s/b.js.ts", "/s/c/index.tsx", "/s/c.js/index.ts", "/s/d.cjs", "/s/e", "/s/e.js", "/s/f.d.ts", "/s/g.mjs", "/s/index.ts", "/u/h.jsx", "/s/i.ts/index.js", "/s/j.jsx.js"]
+    sources = ["./a", "./a.js", "./a.ts", "./b", "./b.js", "./c", "./c.js", "./c/index", "./c/index.js", "./d", "./d.cjs", "./d.js", "./e", "./e.js", "./f", "./f.d", "./f.d.js", "./g", "./g.mjs", ".", "./", "..", "@/h", "@/h.js", "h",
+               "../s/a", "./i.ts", "./i", "./j", "./j.jsx", "./none", "./a"]
+    text = "".join(f"import x{i} from '{s}';\n" for i, s in enumerate(sources))
+    rows = spark.createDataFrame([(f, text if f == "/s/a.ts" else "") for f in files], "path string, text string")
+    edges = modules.dependency_edges(extract.extract_all(rows), {"@/": "/u"}).collect()
+    assert sorted(e["source"] for e in edges) == sorted(sources)
+    from posixpath import join, normpath
+    for e in edges:
+        if not e["source"].startswith((".", "@/")):
+            assert e["dst"] is None
+            continue
+        base = normpath(join("/u", e["source"][2:]) if e["source"].startswith("@/") else join("/s", e["source"]))
+        [wanted] = spark.createDataFrame([(base,)], "base string").select(graph.module_candidates(F.lit(base.rsplit("/", 1)[0]), F.lit(base.rsplit("/", 1)[1]), EXTENSIONS)).first()
+        assert e["dst"] == next((c for c in wanted if c in files), None), e
