@@ -1,8 +1,8 @@
-"""Design-pattern rules over code units: each is a filter and a confidence, and all are one union.
+"""Design-pattern rules over code units: each is a test and a confidence, and all are one table.
 
 Units follow ``code_units`` (see ``lithoscope.sources.schemas``). A rule's result has ``pattern, category, file_path,
-unit_name, line, confidence``. All rules over units are expressions of one row, so one scan serves them; only factory and
-strategy need a join.
+unit_name, line, confidence``. All rules over units are expressions of one row, so one scan serves them; what factory and
+strategy need to know of other units is one small table, which meets that scan once.
 """
 
 from __future__ import annotations
@@ -34,13 +34,17 @@ def _when(test: Column, x: float) -> Column:
     return F.when(test, _d(x)).otherwise(_d(0))
 
 
-def _rule(units: DataFrame, pattern: str, category: str, test: Column, confidence: Column) -> DataFrame:
-    return units.where(test).select(
-        F.lit(pattern).alias("pattern"), F.lit(category).alias("category"), "file_path", F.col("name").alias("unit_name"), "line", confidence.alias("confidence")
-    )
+def _found(units: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Rows of all ``rules(pattern, category, test, confidence, need)`` in one scan; ``need`` is null where nothing else has to hold."""
+    each = F.array_compact(F.array(*[
+        F.when(test, F.struct(F.lit(pattern).alias("pattern"), F.lit(category).alias("category"), confidence.alias("confidence"), need.cast("string").alias("need")))
+        for pattern, category, test, confidence, need in rules
+    ]))
+    return units.select("file_path", F.col("name").alias("unit_name"), "line", F.explode(each).alias("f")).select(
+        "f.pattern", "f.category", "file_path", "unit_name", "line", "f.confidence", "f.need")
 
 
-def unit_rules(units: DataFrame) -> DataFrame:
+def _unit_rules(units: DataFrame) -> list[tuple]:
     """Rules that see one unit at a time."""
     members, params = F.coalesce(F.col("members"), F.array().cast(units.schema["members"].dataType)), F.col("params")
     is_class = F.col("kind") == "class"
@@ -80,36 +84,63 @@ def unit_rules(units: DataFrame) -> DataFrame:
         ("dependency-injection", "architectural", is_class & (F.size("constructor_params") > 0) & (injection >= 0.3), injection),
         ("repository", "architectural", is_class & (crud >= 3), F.least(_d(0.5) + _d(0.1) * crud, _d(0.95))),
     ]
-    out = None
-    for r in rules:
-        found = _rule(units, *r)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return [(*r, F.lit(None)) for r in rules]
 
 
-def factory(units: DataFrame) -> DataFrame:
-    """Functions that make an instance of one of the project's classes."""
-    classes = units.where(F.col("kind") == "class").select(F.col("name").alias("__class")).distinct()
-    made = unwrapped(F.col("return_type"))
-    fit = units.where(
+def unit_rules(units: DataFrame) -> DataFrame:
+    """Rules that see one unit at a time."""
+    return _found(units, _unit_rules(units)).drop("need")
+
+
+def _factory() -> tuple:
+    fit = (
         F.col("kind").isin("function", "arrow") & ~is_test_file(F.col("file_path")) & ~F.col("name").rlike(r"^use[A-Z]")
         & ~is_excluded_type(F.col("return_type")) & F.array_contains("node_types", "NewExpression")
-    ).withColumn("__made", made)
+    )
     confidence = _d(0.7) + _when(F.col("complexity") >= 2, 0.15) + _when(F.col("name").rlike(FACTORY_NAME), 0.1)
-    return _rule(fit.join(classes, F.col("__made") == F.col("__class"), "left_semi"), "factory", "creational", F.lit(True), confidence)
+    return "factory", "creational", fit, confidence, F.concat(F.lit("class "), unwrapped(F.col("return_type")))
+
+
+def factory(units: DataFrame) -> DataFrame:
+    """Functions that make an instance of one of the project's classes."""
+    return _known(_found(units, [_factory()]), units.where(F.col("kind") == "class").select(F.concat(F.lit("class "), "name").alias("need")).distinct())
+
+
+def _strategy() -> tuple:
+    return "strategy", "behavioral", (F.col("kind") == "interface") & F.col("name").isNotNull(), _d(0.8), F.concat(F.lit("interface "), "name")
 
 
 def strategy(units: DataFrame) -> DataFrame:
     """Interfaces that at least two classes implement."""
-    many = units.where(F.col("kind") == "class").select(F.explode("implements").alias("__i")).groupBy("__i").count().where(F.col("count") >= 2)
-    return _rule(units.where(F.col("kind") == "interface").join(many, F.col("name") == F.col("__i"), "left_semi"), "strategy", "behavioral", F.lit(True), _d(0.8))
+    many = units.where(F.col("kind") == "class").select(F.explode("implements").alias("i")).groupBy(F.concat(F.lit("interface "), "i").alias("need")).count().where("count >= 2")
+    return _known(_found(units, [_strategy()]), many.select("need"))
 
 
-def adapter(units: DataFrame) -> DataFrame:
-    """Classes that implement something and wrap another known type."""
+def _known(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``found`` without rows whose ``need`` isn't in ``known(need)``, which has each once. Rows that need nothing are spread by
+    a key of their own."""
+    key = F.coalesce("need", F.concat(F.lit("\0"), "file_path"))
+    met = found.withColumn("key", key).join(known.select(F.col("need").alias("key"), F.lit(True).alias("met")), "key", "left")
+    return met.where("need is null or met").select(*OUT)
+
+
+def _adapter() -> tuple:
     other = F.array_except(F.transform("constructor_params", lambda p: p["type"]), F.coalesce(F.col("implements"), F.array().cast("array<string>")))
     wraps = F.size(F.filter(other, lambda t: t != "unknown")) > 0
-    return _rule(units, "adapter", "structural", (F.col("kind") == "class") & (F.size("implements") > 0) & wraps, _d(0.65))
+    return "adapter", "structural", (F.col("kind") == "class") & (F.size("implements") > 0) & wraps, _d(0.65), F.lit(None)
+
+
+def adapter(units: DataFrame) -> DataFrame:
+    """Classes that implement something and wrap another known type."""
+    return _found(units, [_adapter()]).drop("need")
+
+
+def all_unit_rules(units: DataFrame) -> DataFrame:
+    """The rules over units, factory, strategy and adapter: one scan for what fits, one for the classes that those refer to."""
+    is_class = units.where(F.col("kind") == "class")
+    names = F.concat(F.array(F.concat(F.lit("class "), "name")), F.transform(F.coalesce("implements", F.array().cast("array<string>")), lambda i: F.concat(F.lit("interface "), i)))
+    known = is_class.select(F.explode(names).alias("need")).groupBy("need").count().where(F.col("need").startswith("class ") | (F.col("count") >= 2))
+    return _known(_found(units, [*_unit_rules(units), _factory(), _strategy(), _adapter()]), known.select("need"))
 
 
 def file_rules(files: DataFrame) -> DataFrame:
@@ -117,9 +148,11 @@ def file_rules(files: DataFrame) -> DataFrame:
     n, e, r = F.col("n_internal_imports"), F.col("n_exports"), F.col("n_re_exports")
     files = files.withColumns({"name": F.col("file_path"), "line": F.lit(1)})
     facade = (n >= 4) & (e > 0) & (e <= n / 3) & (r <= F.lit(0.7) * e) & ~F.col("file_path").contains("/cli/commands/")
-    return _rule(files, "facade", "structural", facade, F.least(_d(0.5) + _d(0.05) * n, _d(0.9))).unionByName(
-        _rule(files, "barrel-module", "architectural", F.col("file_path").rlike(r"index\.(ts|js)$") & (r >= 2), _d(0.95))
-    )
+    barrel = F.col("file_path").rlike(r"index\.(ts|js)$") & (r >= 2)
+    return _found(files, [
+        ("facade", "structural", facade, F.least(_d(0.5) + _d(0.05) * n, _d(0.9)), F.lit(None)),
+        ("barrel-module", "architectural", barrel, _d(0.95), F.lit(None)),
+    ]).drop("need")
 
 
 def framework(units: DataFrame) -> DataFrame:
@@ -162,7 +195,7 @@ def layered(files: DataFrame) -> DataFrame:
 
 def detect(units: DataFrame, files: DataFrame) -> DataFrame:
     """All rules, the surest first."""
-    parts = [unit_rules(units), factory(units), strategy(units), adapter(units), file_rules(files), layered(files), framework(units)]
+    parts = [all_unit_rules(units), file_rules(files), layered(files), framework(units)]
     out = parts[0].select(*OUT)
     for p in parts[1:]:
         out = out.unionByName(p.select(*OUT))
@@ -184,21 +217,26 @@ def by_category_counts(patterns: DataFrame) -> DataFrame:
 def with_evidence(patterns: DataFrame, units: DataFrame) -> DataFrame:
     """``patterns`` with ``locations``, ``evidence`` (what speaks for it, in words) and ``related_units``: of a strategy the classes that
     implement it, of a factory the class that it makes, else none."""
-    unit = units.select("file_path", F.col("name").alias("unit_name"), "line", "kind", "members", "extends", "implements", "return_type", "constructor_params", "complexity")
-    classes = units.where(F.col("kind") == "class").select(F.explode("implements").alias("unit_name"), F.struct("file_path", "name").alias("c"))
-    implementers = classes.groupBy("unit_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("c.name")).alias("by"))
-    both = patterns.join(unit, ["file_path", "unit_name", "line"], "left").join(implementers, "unit_name", "left")
     named = lambda names: F.array_join(F.transform(F.filter("members", lambda m: (m["kind"] == "method") & m["name"].isin(names)), lambda m: m["name"]), ", ")
+    # short texts rather than members and parameters meet the patterns
+    unit = units.select(
+        "file_path", F.col("name").alias("unit_name"), "line", "extends", F.exists("members", lambda m: m["is_static"] & m["name"].isin("instance", "_instance")).alias("instance"),
+        named(OBSERVER_METHODS).alias("observes"), named(CRUD_METHODS).alias("stores"), F.array_join(F.transform("constructor_params", lambda p: p["type"]), ", ").alias("takes"),
+        F.array_join("implements", ", ").alias("implements"), unwrapped(F.col("return_type")).alias("makes"))
+    classes = units.where(F.col("kind") == "class").select(F.explode("implements").alias("key"), "name")
+    implementers = classes.groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("name")).alias("by"))
+    key = F.when(F.col("pattern") == "strategy", F.col("unit_name")).otherwise(F.concat(F.lit("\0"), "file_path"))
+    both = patterns.join(unit, ["file_path", "unit_name", "line"], "left").withColumn("key", key).join(implementers, "key", "left")
     says = F.array_compact(F.array(
         F.when(F.col("pattern") == "singleton", F.lit("private constructor")),
-        F.when((F.col("pattern") == "singleton") & F.exists("members", lambda m: m["is_static"] & m["name"].isin("instance", "_instance")), F.lit("static instance")),
+        F.when((F.col("pattern") == "singleton") & F.col("instance"), F.lit("static instance")),
         F.when((F.col("pattern") == "observer") & F.col("extends").isNotNull(), F.concat(F.lit("extends "), F.col("extends"))),
-        F.when(F.col("pattern") == "observer", F.concat(F.lit("methods "), named(OBSERVER_METHODS))),
-        F.when(F.col("pattern") == "repository", F.concat(F.lit("methods "), named(CRUD_METHODS))),
-        F.when(F.col("pattern").isin("dependency-injection", "adapter"), F.concat(F.lit("takes "), F.array_join(F.transform("constructor_params", lambda p: p["type"]), ", "))),
-        F.when(F.col("pattern") == "adapter", F.concat(F.lit("implements "), F.array_join("implements", ", "))),
+        F.when(F.col("pattern") == "observer", F.concat(F.lit("methods "), "observes")),
+        F.when(F.col("pattern") == "repository", F.concat(F.lit("methods "), "stores")),
+        F.when(F.col("pattern").isin("dependency-injection", "adapter"), F.concat(F.lit("takes "), "takes")),
+        F.when(F.col("pattern") == "adapter", F.concat(F.lit("implements "), "implements")),
         F.when(F.col("pattern") == "strategy", F.concat(F.lit("implementations "), F.col("n").cast("string"))),
-        F.when(F.col("pattern") == "factory", F.concat(F.lit("makes "), unwrapped(F.col("return_type")))),
+        F.when(F.col("pattern") == "factory", F.concat(F.lit("makes "), "makes")),
     ))
-    related = F.when(F.col("pattern") == "strategy", F.col("by")).when(F.col("pattern") == "factory", F.array(unwrapped(F.col("return_type")))).otherwise(F.array().cast("array<string>"))
+    related = F.when(F.col("pattern") == "strategy", F.col("by")).when(F.col("pattern") == "factory", F.array("makes")).otherwise(F.array().cast("array<string>"))
     return both.select(*OUT, F.array(F.struct("file_path", "unit_name", "line")).alias("locations"), says.alias("evidence"), related.alias("related_units"))

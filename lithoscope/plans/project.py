@@ -96,18 +96,22 @@ def code_called_by(spark, sf_dir):
     return callgraph.called_by(project(spark, sf_dir, "units", "calls")[1]).select("by_file", "by_name", "file_path", "name")
 
 
+def _detected(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Patterns, and the units that they are found in."""
+    files, found, edges = project(spark, sf_dir, "units")
+    units = extract.units(found)
+    return patterns.detect(units, modules.file_counts(extract.extract_all(files, ["exports"]), edges)), units
+
+
 @query()
 def code_patterns(spark, sf_dir):
-    _, found, edges = project(spark, sf_dir, "units", "exports")
-    return patterns.detect(extract.units(found), modules.file_counts(found, edges)).select("file_path", "pattern", "category", "unit_name", "line", "confidence")
+    return _detected(spark, sf_dir)[0].select("file_path", "pattern", "category", "unit_name", "line", "confidence")
 
 
 @query()
 def code_pattern_evidence(spark, sf_dir):
     """Patterns with the units that they rest on and what speaks for them."""
-    _, found, edges = project(spark, sf_dir, "units", "exports")
-    units = extract.units(found)
-    return patterns.with_evidence(patterns.detect(units, modules.file_counts(found, edges)), units).where("category <> 'framework'").select(
+    return patterns.with_evidence(*_detected(spark, sf_dir)).where("category <> 'framework'").select(
         "file_path", "pattern", "unit_name", F.array_join("evidence", "; ").alias("evidence"), F.array_join("related_units", ",").alias("related_units"))
 
 
@@ -119,8 +123,7 @@ def code_strategy(spark, sf_dir):
 @query()
 def code_structural_patterns(spark, sf_dir):
     """The patterns of one category."""
-    _, found, edges = project(spark, sf_dir, "units", "exports")
-    return views.of_category(patterns.detect(extract.units(found), modules.file_counts(found, edges)), "structural").select("file_path", "pattern", "unit_name", "confidence")
+    return views.of_category(_detected(spark, sf_dir)[0], "structural").select("file_path", "pattern", "unit_name", "confidence")
 
 
 @query()

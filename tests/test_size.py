@@ -1,20 +1,25 @@
 """What keeps queries over source code in proportion to their input: many tasks, each text read once in a batch, few passes."""
 
+import re
+from posixpath import join, normpath
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from conftest import SMALL
-from lithoscope.operators import graph, modules
+from lithoscope.operators import graph, modules, patterns
 from lithoscope.plans import project
 from lithoscope.plans.registry import QUERIES
 from lithoscope.sources import extract, sample
 from lithoscope.sources.batches import rows_by_text
 from lithoscope.sources.files import EXTENSIONS
+from lithoscope.sources.schemas import CODE_UNITS
 
 
 def passes(frame) -> int:
     """How often a plan reads source texts."""
-    return frame._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    return len(re.findall("MapIn(?:Arrow|Pandas)", frame._jdf.queryExecution().optimizedPlan().toString()))
 
 
 def test_copies_are_read_in_many_tasks(spark):
@@ -51,7 +56,7 @@ def test_records_are_those_of_each_file(spark):
         assert {k: v for k, v in r.asDict(True).items()} == expected[r["path"]]
 
 
-@pytest.mark.parametrize("name, most", [("code_resolved_imports", 1), ("code_dependencies", 2), ("code_references", 1)])
+@pytest.mark.parametrize("name, most", [("code_resolved_imports", 1), ("code_dependencies", 2), ("code_references", 2)])
 def test_imports_are_resolved_in_one_pass(spark, name, most):
     assert passes(QUERIES[name](spark, SMALL)) <= most
 
@@ -64,7 +69,6 @@ def test_imports_meet_every_candidate_in_order(spark):
     rows = spark.createDataFrame([(f, text if f == "/s/a.ts" else "") for f in files], "path string, text string")
     edges = modules.dependency_edges(extract.extract_all(rows), {"@/": "/u"}).collect()
     assert sorted(e["source"] for e in edges) == sorted(sources)
-    from posixpath import join, normpath
     for e in edges:
         if not e["source"].startswith((".", "@/")):
             assert e["dst"] is None
@@ -72,3 +76,25 @@ def test_imports_meet_every_candidate_in_order(spark):
         base = normpath(join("/u", e["source"][2:]) if e["source"].startswith("@/") else join("/s", e["source"]))
         [wanted] = spark.createDataFrame([(base,)], "base string").select(graph.module_candidates(F.lit(base.rsplit("/", 1)[0]), F.lit(base.rsplit("/", 1)[1]), EXTENSIONS)).first()
         assert e["dst"] == next((c for c in wanted if c in files), None), e
+
+
+@pytest.mark.parametrize("name, most", [("code_patterns", 7), ("code_structural_patterns", 4), ("code_pattern_evidence", 9)])
+def test_patterns_are_found_in_few_passes(spark, name, most):
+    assert 0 < passes(QUERIES[name](spark, SMALL)) <= most
+
+
+def test_rules_on_units_with_nulls(spark):
+    params, none = [("a", "Api")], None
+    unit = lambda name, kind, **own: tuple(({"file_path": "/a.ts", "name": name, "kind": kind, "line": 1} | own).get(c) for c in StructType.fromDDL(CODE_UNITS).names)
+    made = {"node_types": ["NewExpression"], "return_type": "Promise<Disc>", "complexity": 1}
+    units = spark.createDataFrame([
+        unit("Shape", "interface"), unit("Once", "interface"), unit(none, "interface"), unit("Disc", "class", implements=["Shape", none], constructor_params=params),
+        unit("Square", "class", implements=["Shape"]), unit("Other", "class", implements=["Once", none]), unit(none, "class"), unit("makeDisc", "function", **made),
+        unit("makeNone", "function", **made | {"return_type": "None"}), unit("makeAny", "function", **made | {"return_type": none}), unit("useDisc", "arrow", **made)], CODE_UNITS)
+    files = spark.createDataFrame([("/a.ts", 0, 0, 0)], "file_path string, n_internal_imports int, n_exports int, n_re_exports int")
+    found = patterns.detect(units, files)
+    assert sorted((r["pattern"], r["unit_name"], r["confidence"]) for r in found.collect()) == [
+        ("adapter", "Disc", 0.65), ("dependency-injection", "Disc", 0.4), ("factory", "makeDisc", 0.7 + 0.1), ("react-hooks", "useDisc", 0.95), ("strategy", "Shape", 0.8)]
+    said = {r["pattern"]: (r["evidence"], r["related_units"]) for r in patterns.with_evidence(found, units).collect()}
+    assert said["strategy"] == (["implementations 2"], ["Disc", "Square"]) and said["factory"] == (["makes Disc"], ["Disc"])
+    assert said["adapter"] == (["takes Api", "implements Shape"], [])
