@@ -7,7 +7,7 @@ that are commutative. Each level is one grouped pass; children of one node are g
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,9 +46,8 @@ def subtree_hashes(nodes: DataFrame, commutative: list[str] = (), most_levels: i
 
 def children_first(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``visit`` and ``post_visit``: the places of a flat tree's nodes (a root and its children) in a walk that
-    visits a node before, or after, its children."""
-    n = F.count_if(F.col("parent").isNotNull())
-    size = nodes.groupBy("tree").agg(n.alias("__n"))
+    visits a node before, or after, its children. Rows of no tree drop out. Nodes that are sorted by tree are not sorted again."""
     inner = F.col("parent").isNotNull()
-    return nodes.join(size, "tree").withColumns({
-        "visit": F.when(inner, F.col("place") + 1).otherwise(0).cast("long"), "post_visit": F.when(inner, F.col("place")).otherwise(F.col("__n")).cast("long")}).drop("__n")
+    n = F.count(F.when(inner, 1)).over(Window.partitionBy("tree"))
+    return nodes.where(F.col("tree").isNotNull()).withColumns({
+        "visit": F.when(inner, F.col("place") + 1).otherwise(0).cast("long"), "post_visit": F.when(inner, F.col("place")).otherwise(n).cast("long")})

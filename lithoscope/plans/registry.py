@@ -5,6 +5,8 @@ These tables hold no source code: the queries apply the operators to documents,
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,17 @@ def query(sql: str | None = None):
     return add
 
 
+#: MB of files for one task of a grouped pass, so that a task's memory stays as it is when tables grow.
+TASK_MB = 4
+
+
+def tasks_by_size(rows: DataFrame) -> int:
+    """Tasks for a grouped pass over the files that ``rows`` are read from, at least as many as the session has for a shuffle."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >> 60 else max(least, math.ceil(size / (TASK_MB * 2**20)))  # a size that isn't known is a huge one
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -334,7 +347,9 @@ def subtree_hashes(spark, sf_dir):
           FROM orders JOIN lineitem ON l_orderkey = o_orderkey WINDOW w AS (PARTITION BY o_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice)""")
 def tree_walk(spark, sf_dir):
     """Places of an order's lines in a walk that takes the order first, and in one that takes it last."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    n = tasks_by_size(lines)
+    lines = lines.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").repartition(n, "l_orderkey").join(orders.repartition(n, "l_orderkey"), "l_orderkey")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_extendedprice"))
     own = lines.select(F.col("l_orderkey").alias("tree"), F.col("l_linenumber").alias("id"), F.lit(0).alias("parent"), (place - 1).alias("place"))
     return trees.children_first(own).select("tree", "id", "visit", "post_visit")

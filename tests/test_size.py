@@ -1,6 +1,7 @@
 """What keeps queries over source code in proportion to their input: many tasks, each text read once in a batch, few passes."""
 
 import re
+from pathlib import Path
 from posixpath import join, normpath
 
 import pytest
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from conftest import SMALL
-from lithoscope.operators import graph, modules, patterns
-from lithoscope.plans import project
+from lithoscope.operators import graph, modules, patterns, trees
+from lithoscope.plans import project, registry
 from lithoscope.plans.registry import QUERIES
 from lithoscope.sources import extract, sample
 from lithoscope.sources.batches import rows_by_text
@@ -98,3 +99,19 @@ def test_rules_on_units_with_nulls(spark):
     said = {r["pattern"]: (r["evidence"], r["related_units"]) for r in patterns.with_evidence(found, units).collect()}
     assert said["strategy"] == (["implementations 2"], ["Disc", "Square"]) and said["factory"] == (["makes Disc"], ["Disc"])
     assert said["adapter"] == (["takes Api", "implements Shape"], [])
+
+
+def test_a_walk_sorts_once_in_tasks_by_size(spark, monkeypatch):
+    assert QUERIES["tree_walk"](spark, SMALL).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(registry, "TASK_MB", 0.01)
+    walk = QUERIES["tree_walk"](spark, SMALL)
+    size = sum(f.stat().st_size for f in [Path(SMALL, "lineitem.parquet")])
+    assert size / (0.01 * 2**20) <= walk.rdd.getNumPartitions() <= size / (0.01 * 2**20) + 1
+    plan = walk._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("Join", plan)) == 1 and "Aggregate" not in plan
+
+
+def test_a_walk_of_trees_and_of_no_tree(spark):
+    rows = [(1, 0, None, 0), (1, 1, 0, 0), (1, 2, 0, 1), (2, 0, None, 0), (None, 0, None, 0), (None, 1, 0, 0), (3, 1, 0, 0)]
+    found = trees.children_first(spark.createDataFrame(rows, "tree int, id int, parent int, place int")).collect()
+    assert sorted((r["tree"], r["id"], r["visit"], r["post_visit"]) for r in found) == [(1, 0, 0, 2), (1, 1, 1, 0), (1, 2, 2, 1), (2, 0, 0, 0), (3, 1, 1, 0)]
