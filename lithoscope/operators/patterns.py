@@ -193,9 +193,9 @@ def layered(files: DataFrame) -> DataFrame:
     )
 
 
-def detect(units: DataFrame, files: DataFrame) -> DataFrame:
-    """All rules, the surest first."""
-    parts = [all_unit_rules(units), file_rules(files), layered(files), framework(units)]
+def detect(units: DataFrame, files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """All rules, the surest first. ``paths(file_path)`` are those of ``files``, if they can be listed without reading them."""
+    parts = [all_unit_rules(units), file_rules(files), layered(files if paths is None else paths), framework(units)]
     out = parts[0].select(*OUT)
     for p in parts[1:]:
         out = out.unionByName(p.select(*OUT))

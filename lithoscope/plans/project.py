@@ -100,7 +100,8 @@ def _detected(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Patterns, and the units that they are found in."""
     files, found, edges = project(spark, sf_dir, "units")
     units = extract.units(found)
-    return patterns.detect(units, modules.file_counts(extract.extract_all(files, ["exports"]), edges)), units
+    counts = modules.file_counts(extract.extract_all(files, ["exports"]), edges)
+    return patterns.detect(units, counts, files.select(F.col("path").alias("file_path"))), units
 
 
 @query()

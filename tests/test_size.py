@@ -79,7 +79,7 @@ def test_imports_meet_every_candidate_in_order(spark):
         assert e["dst"] == next((c for c in wanted if c in files), None), e
 
 
-@pytest.mark.parametrize("name, most", [("code_patterns", 7), ("code_structural_patterns", 4), ("code_pattern_evidence", 9)])
+@pytest.mark.parametrize("name, most", [("code_patterns", 5), ("code_structural_patterns", 4), ("code_pattern_evidence", 6)])
 def test_patterns_are_found_in_few_passes(spark, name, most):
     assert 0 < passes(QUERIES[name](spark, SMALL)) <= most
 
